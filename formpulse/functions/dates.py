@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from formpulse import fixed_values as fv
+from formpulse.functions.literals import literal_array
 
 
 def parse_survey_timestamp(x: Column) -> Column:
@@ -33,7 +34,7 @@ def derive_period(ts: Column) -> dict[str, Column]:
 
 
 def _names(short: bool) -> Column:
-    return F.array(*map(F.lit, fv.MONTHS_SHORT if short else fv.MONTHS))
+    return literal_array(fv.MONTHS_SHORT if short else fv.MONTHS)
 
 
 def month_ordinal(name: Column) -> Column:

@@ -33,12 +33,13 @@ def percent_label(percent: Column, digits: int = 1, *, fixed: bool = False) -> C
     return F.when(percent.isNotNull(), F.concat(text, F.lit("%")))
 
 
-def row_mean(columns: Sequence[Column]) -> Column:
+def row_mean(names: Sequence[str]) -> Column:
     """Mean of the non-null columns of a row; null where all are null."""
-    total = sum((F.coalesce(c, F.lit(0)) for c in columns[1:]), F.coalesce(columns[0], F.lit(0)))
-    answered = sum((c.isNotNull().cast("int") for c in columns[1:]),
-                   columns[0].isNotNull().cast("int"))
-    return F.when(answered > 0, total.cast("double") / answered)
+    total = " + ".join(f"coalesce(`{n}`, 0)" for n in names)
+    answered = " + ".join(f"if(`{n}` IS NULL, 0, 1)" for n in names)
+    return F.expr(
+        f"CASE WHEN {answered} > 0 THEN CAST({total} AS DOUBLE) / ({answered}) END"
+    )
 
 
 def exact_sum(x: Column, denominator: int) -> Column:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from formpulse import fixed_values as fv
+from formpulse.functions.literals import literal_array, literal_map
 from formpulse.functions.numbers import row_mean
 from formpulse.functions.text import fold_accents
 
@@ -18,8 +18,7 @@ MEAN_DENOMINATOR = 420
 
 def _lookup(x: Column, table: Mapping[str, int]) -> Column:
     """Value of a constant table; evaluates ``x`` once, null where it is not listed."""
-    literals = chain.from_iterable((F.lit(k), F.lit(v)) for k, v in table.items())
-    return F.element_at(F.create_map(*literals), x)
+    return F.element_at(literal_map(table), x)
 
 
 def likert_ordinal(x: Column) -> Column:
@@ -46,18 +45,18 @@ def likert_score(x: Column) -> Column:
 
 def rating_label(x: Column, other: str | None = None) -> Column:
     """Label of an ordinal rating; ``other`` names everything outside 1..4."""
-    label = F.when(x.between(1, 4), F.get(F.array(*map(F.lit, fv.RATING_LABELS)), x - 1))
+    label = F.when(x.between(1, 4), F.get(literal_array(fv.RATING_LABELS), x - 1))
     return label if other is None else F.coalesce(label, F.lit(other))
 
 
 def block_means() -> dict[str, Column]:
     """``m_a`` .. ``m_h``: mean of the answered questions of each block of the general form."""
     return {
-        f"m_{block}": row_mean([F.col(f"{block}_{i}") for i in range(1, size + 1)])
+        f"m_{block}": row_mean([f"{block}_{i}" for i in range(1, size + 1)])
         for block, size in fv.BLOCK_SIZES.items()
     }
 
 
 def mean_of_means() -> Column:
     """Mean of the block means of a form (not of its answers)."""
-    return row_mean([F.col(f"m_{block}") for block in fv.BLOCK_SIZES])
+    return row_mean([f"m_{block}" for block in fv.BLOCK_SIZES])

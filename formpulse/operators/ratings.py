@@ -38,7 +38,7 @@ def _answers(df: DataFrame, questions: Sequence[str], keys: Sequence[str], form:
 
 
 def _bucket(df: DataFrame, questions: Sequence[str], keys: Sequence[str], form: str) -> DataFrame:
-    mean = row_mean([F.col(q) for q in questions])
+    mean = row_mean(questions)
     return df.select(*keys, F.ceil(mean).cast("int").alias("rating"), F.lit(form).alias("form"))
 
 
@@ -142,13 +142,17 @@ def mean_rating_histogram(
     general: DataFrame, ambulatory: DataFrame, keys: Sequence[str] = CONSOLIDATION
 ) -> DataFrame:
     """Forms per rounded-up mean answer (1..4), per form and period."""
-    buckets = _both_forms(general, ambulatory, keys, _bucket)
-    named = F.when(F.col("form") == GENERAL, "general").otherwise("ambulatory")
-    return (
-        buckets.where(F.col("rating").isNotNull())
-        .groupBy(*keys, named.alias("form"), F.col("rating").alias("bucket"))
-        .agg(F.count("*").alias("n"))
+    wide = _four_by_two(_both_forms(general, ambulatory, keys, _bucket), keys)
+    names = {GENERAL: "general", AMBULATORY: "ambulatory"}
+    rows = F.array(
+        *(
+            F.struct(F.lit(name).alias("form"), F.lit(r).alias("bucket"),
+                     F.col(f"{form}{r}").alias("n"))
+            for form, name in names.items()
+            for r in range(1, 5)
+        )
     )
+    return wide.select(*keys, F.inline(rows)).where(F.col("n") > 0)
 
 
 def merge_mean_buckets(

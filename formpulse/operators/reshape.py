@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from formpulse import fixed_values as fv
 from formpulse.functions import text
+from formpulse.functions.literals import literal_array
 from formpulse.functions.numbers import half_even, share
 from formpulse.operators.keys import join_on_keys, with_group_total
 
@@ -104,7 +105,7 @@ def rank_average_ties(
 
 def ordered_domain(x: Column, levels: Sequence[str]) -> Column:
     """1-based position of a value in an ordered list of levels; null where it is not a level."""
-    position = F.array_position(F.array(*map(F.lit, levels)), x).cast("int")
+    position = F.array_position(literal_array(levels), x).cast("int")
     return F.nullif(position, F.lit(0))
 
 

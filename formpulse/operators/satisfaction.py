@@ -33,13 +33,14 @@ def measure_summary(
     means = both.groupBy(*keys).agg(
         *(exact_mean(F.col(c), MEAN_DENOMINATOR).alias(c) for c in (*blocks, "m"))
     )
-    percents = [F.col(c) * 100 / 4 for c in (*blocks, "m")]
+    means = means.select(*keys, *((F.col(c) * 100 / 4).alias(c) for c in (*blocks, "m")))
+    values = [*(F.col(c) for c in (*blocks, "m")), row_mean([*blocks, "m"])]
     measures = F.array(
         *(
             F.struct(F.lit(i).alias("medida_ordinal"), F.lit(label).alias("medida"),
                      value.alias("percentual"))
             for i, (label, value) in enumerate(
-                zip(fv.MEASURE_LABELS, [*percents, row_mean(percents)], strict=True), start=1)
+                zip(fv.MEASURE_LABELS, values, strict=True), start=1)
         )
     )
     return means.select(*keys, F.inline(measures)).withColumn("meta", F.lit(fv.MEASURE_TARGET))

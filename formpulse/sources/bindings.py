@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from formpulse import fixed_values as fv
 from formpulse.functions.dates import month_name
+from formpulse.functions.literals import literal_array
 from formpulse.sources.normalize import (
     clean_manifestations,
     normalize_ambulatory,
@@ -31,12 +32,12 @@ def _text(x: Column) -> Column:
 
 def answer(i: int) -> Column:
     """Answer ``i`` (1..28) of an order: six texts, sometimes blank, sometimes missing."""
-    key, customer = F.col("o_orderkey"), F.col("o_custkey")
-    pick = ((key * (i + 2) + customer * (3 * i + 1) + 13 * i) % 97) % 6
-    return (
-        F.when((key + 17 * i) % 151 == 0, F.lit(None))
-        .when((key + 29 * i) % 149 == 0, "")
-        .otherwise(F.get(F.array(*map(F.lit, ANSWERS)), pick.cast("int")))
+    answers = ", ".join(f"'{a}'" for a in ANSWERS)
+    pick = f"(o_orderkey * {i + 2} + o_custkey * {3 * i + 1} + {13 * i}) % 97 % 6"
+    return F.expr(
+        f"CASE WHEN (o_orderkey + {17 * i}) % 151 = 0 THEN NULL "
+        f"WHEN (o_orderkey + {29 * i}) % 149 = 0 THEN '' "
+        f"ELSE get(array({answers}), CAST({pick} AS INT)) END"
     )
 
 
@@ -75,7 +76,7 @@ def raw_general(spark: SparkSession, sf_dir: str) -> DataFrame:
         "autorizo": F.when(key % 2 == 0, "SIM").otherwise("Não"),
         "setor": F.when(key % 23 == 0, "")
         .when(key % 29 == 0, F.lit(None))
-        .otherwise(F.get(F.array(*map(F.lit, SECTORS)), (customer % 5).cast("int"))),
+        .otherwise(F.get(literal_array(SECTORS), (customer % 5).cast("int"))),
         "elogios": F.when(key % 4 == 0, F.concat(F.lit(" elogio "), _text(customer % 50))),
         "sugestoes": F.when(key % 4 == 1, F.lit(" \t ")).when(
             key % 4 == 2, F.concat(F.lit("sugestão "), _text(customer % 50), F.lit(" "))
@@ -116,7 +117,7 @@ def raw_manifestations(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = {
         "data": shared["data"],
         "setor": F.concat(
-            F.lit("  "), F.lower(F.get(F.array(*map(F.lit, SECTORS)), (customer % 5).cast("int"))),
+            F.lit("  "), F.lower(F.get(literal_array(SECTORS), (customer % 5).cast("int"))),
             F.lit(" "),
         ),
         "nps": shared["nps"],

@@ -71,7 +71,7 @@ def normalize_ambulatory(df: DataFrame) -> DataFrame:
         F.year(ts).alias("ano"),
         F.month(ts).alias("mes"),
     )
-    return typed.withColumn("m", row_mean([F.col(q) for q in fv.AMBULATORY_QUESTIONS]))
+    return typed.withColumn("m", row_mean(fv.AMBULATORY_QUESTIONS))
 
 
 def _consolidation():

@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 
 PERIOD_KEYS = ("ano", "mes")
 
+# Spark's CSV writer trims values unless told not to, and escapes quotes by backslash.
+CSV_OPTIONS = {
+    "header": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
 
 def write_raw_snapshot(
     df: DataFrame, path: str, *, ingest_date: str | None = None, mode: str = "append"
@@ -23,8 +31,7 @@ def write_raw_snapshot(
         df.withColumn("ingest_date", day)
         .write.mode(mode)
         .partitionBy("ingest_date")
-        .option("header", True)
-        .option("escape", '"')
+        .options(**CSV_OPTIONS)
         .csv(path)
     )
 
@@ -73,9 +80,7 @@ def write_report_csv(
         .hint("rebalance", *keys)
         .write.mode(mode)
         .partitionBy(*keys)
-        .option("header", True)
-        .option("sep", ";")
-        .option("escape", '"')
+        .options(**CSV_OPTIONS, sep=";")
         .csv(path)
     )
 
