@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,16 +17,19 @@ def layout_schema(layout: str, malformed_column: str | None = None) -> T.StructT
     return T.StructType([T.StructField(name, T.StringType()) for name in names])
 
 
-def null_tokens_to_null(df: DataFrame, tokens: Iterable[str]) -> DataFrame:
-    """Replace the reader's missing-value words by null in every text column."""
-    words = list(tokens)
-    return df.select(
-        *(
-            F.when(~F.col(name).isin(words), F.col(name)).alias(name) if kind == "string"
-            else F.col(name)
-            for name, kind in df.dtypes
-        )
-    )
+def apply_null_tokens(df: DataFrame, null_tokens: str, malformed_column: str | None = None):
+    """Decide what text means missing, in every column but the malformed one.
+
+    Spark's parser gives null for an unquoted blank. Where a blank is not one of the words that
+    mean missing, it becomes ``''`` again.
+    """
+    words = list(fv.NULL_TOKENS[null_tokens])
+
+    def decide(name: str):
+        text = F.col(name) if "" in words else F.coalesce(name, F.lit(""))
+        return F.when(~text.isin(words), text).alias(name)
+
+    return df.select(*(F.col(c) if c == malformed_column else decide(c) for c in df.columns))
 
 
 def read_survey_csv(
@@ -58,12 +59,10 @@ def read_survey_csv(
         .option("escape", '"')
         .option("mode", mode)
         .option("emptyValue", "")
-        # An unquoted blank reads as this value, so that the token list alone decides on nulls.
-        .option("nullValue", "\x00")
     )
     if malformed_column:
         reader = reader.option("columnNameOfCorruptRecord", malformed_column)
-    return null_tokens_to_null(reader.csv(path), fv.NULL_TOKENS[null_tokens])
+    return apply_null_tokens(reader.csv(path), null_tokens, malformed_column)
 
 
 def rename_positional(df: DataFrame, layout: str) -> DataFrame:

@@ -7,8 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from formpulse import fixed_values as fv
-from formpulse.sources.csv import layout_schema, null_tokens_to_null
+from formpulse.sources.csv import apply_null_tokens, layout_schema
 from formpulse.sources.normalize import clean_manifestations
 from formpulse.sources.sinks import PERIOD_KEYS
 
@@ -24,11 +23,10 @@ def read_survey_stream(
         .option("multiLine", True)
         .option("escape", '"')
         .option("emptyValue", "")
-        .option("nullValue", "\x00")
         .option("maxFilesPerTrigger", max_files)
         .csv(drop_folder)
     )
-    return null_tokens_to_null(stream, fv.NULL_TOKENS[null_tokens])
+    return apply_null_tokens(stream, null_tokens)
 
 
 def stream_ingest(
