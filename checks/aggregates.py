@@ -91,7 +91,7 @@ def _(spark, d):
 
 
 def _summary_sql(keys: str) -> str:
-    share = {n: f"(CAST({n} AS DOUBLE) / total)" for n in ("detratores", "neutros", "promotores")}
+    share = {n: f"(CAST({n} AS DOUBLE) / nullif(total, 0))" for n in ("detratores", "neutros", "promotores")}
     score = S.half_even(f"({share['promotores']} - {share['detratores']}) * 100", 2)
     return S.with_("manifestations", extra=(f"""t AS (
   SELECT {keys}, {S.count_if("nps <= 6")} AS detratores, {S.count_if("nps BETWEEN 7 AND 8")}

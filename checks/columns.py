@@ -37,7 +37,7 @@ def _(spark, d):
 def _(spark, d):
     raw = b.raw_general(spark, d)
     return raw.select(text.cast_id(F.col("id")).alias("id"),
-                      *(ratings.likert_ordinal(F.col(q)).alias(q) for q in fv.QUESTIONS))
+                      *(ratings.likert_ordinal(q).alias(q) for q in fv.QUESTIONS))
 
 
 @query("likert_score", S.with_("raw_general", select="SELECT k AS id, " + ", ".join(
@@ -45,7 +45,7 @@ def _(spark, d):
 def _(spark, d):
     raw = b.raw_general(spark, d)
     return raw.select(text.cast_id(F.col("id")).alias("id"),
-                      *(ratings.likert_score(F.col(q)).alias(q) for q in fv.QUESTIONS))
+                      *(ratings.likert_score(q).alias(q) for q in fv.QUESTIONS))
 
 
 _LABEL = "CASE {x} WHEN 1 THEN 'Ruim' WHEN 2 THEN 'Regular' WHEN 3 THEN 'Bom' WHEN 4 THEN 'Otimo'"

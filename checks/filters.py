@@ -95,7 +95,7 @@ def _(spark, d):
 
     raw = b.raw_ambulatory(spark, d)
     scored = raw.select(F.col("id").cast("bigint").alias("id"), "recepcao",
-                        likert_score(F.col("recepcao")).alias("score"))
+                        likert_score("recepcao").alias("score"))
     return periods.answered_only(scored, "recepcao", "score")
 
 

@@ -122,7 +122,8 @@ def _(spark, d):
     keys = ("ano_consolidacao", "mes_consolidacao")
     sinks.write_report_csv(ranking, path, keys=keys)
     # Blank names are quoted in the file, and a missing month has Spark's folder for nulls.
-    return spark.read.options(**sinks.CSV_OPTIONS, sep=";", emptyValue="").schema(
+    return spark.read.options(
+        **sinks.CSV_OPTIONS, sep=";", emptyValue="", nullValue="\x00").schema(
         'atendente string, Bom bigint, Otimo bigint, Regular bigint, Ruim bigint, '
         'QTDE_PESQUISADOS bigint, RANK string, ano_consolidacao int, mes_consolidacao string'
     ).csv(path)

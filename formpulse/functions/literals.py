@@ -8,16 +8,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _sql(value: str | int) -> str:
+def sql_literal(value: str | int) -> str:
     if isinstance(value, int):
         return str(value)
     escaped = value.replace("\\", "\\\\").replace("'", "\\'")
     return f"'{escaped}'"
 
 
-def literal_array(values: Sequence[str | int]) -> Column:
-    return F.expr(f"array({', '.join(map(_sql, values))})")
+def array_sql(values: Sequence[str | int]) -> str:
+    return f"array({', '.join(map(sql_literal, values))})"
+
 
+def map_sql(table: Mapping[str, int]) -> str:
+    pairs = (f"{sql_literal(k)}, {sql_literal(v)}" for k, v in table.items())
+    return f"map({', '.join(pairs)})"
 
-def literal_map(table: Mapping[str, int]) -> Column:
-    return F.expr(f"map({', '.join(f'{_sql(k)}, {_sql(v)}' for k, v in table.items())})")
+
+def literal_array(values: Sequence[str | int]) -> Column:
+    return F.expr(array_sql(values))

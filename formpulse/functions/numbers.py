@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["exact_mean", "exact_sum", "half_even", "percent_label", "row_mean", "share"]
+__all__ = ["count_when", "exact_mean", "exact_sum", "half_even", "percent_label", "row_mean", "share"]
 
 
 def half_even(x: Column, digits: int = 0) -> Column:
@@ -33,6 +33,11 @@ def percent_label(percent: Column, digits: int = 1, *, fixed: bool = False) -> C
     return F.when(percent.isNotNull(), F.concat(text, F.lit("%")))
 
 
+def count_when(condition: Column) -> Column:
+    """Rows of a group where the condition holds, as a plain conditional count."""
+    return F.count(F.when(condition, 1))
+
+
 def row_mean(names: Sequence[str]) -> Column:
     """Mean of the non-null columns of a row; null where all are null."""
     total = " + ".join(f"coalesce(`{n}`, 0)" for n in names)

@@ -2,45 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from formpulse import fixed_values as fv
-from formpulse.functions.literals import literal_array, literal_map
+from formpulse.functions.literals import literal_array, map_sql, sql_literal
 from formpulse.functions.numbers import row_mean
-from formpulse.functions.text import fold_accents
 
 # A block holds 2..7 answers, so its mean is a multiple of 1/420; see numbers.exact_mean.
 MEAN_DENOMINATOR = 420
 
 
-def _lookup(x: Column, table: Mapping[str, int]) -> Column:
-    """Value of a constant table; evaluates ``x`` once, null where it is not listed."""
-    return F.element_at(literal_map(table), x)
+_WORDS = {word: i for i, word in enumerate(fv.RATING_WORDS, start=1)}
+_RATED = {a: _WORDS[w] for a, w in fv.USUAL_ANSWERS.items() if w in _WORDS}
+_UNRATED = [a for a, w in fv.USUAL_ANSWERS.items() if w not in _WORDS]
+_FIFTHS = {answer: i for i, answer in enumerate(fv.LIKERT_ANSWERS, start=1)}
+
+
+# The answer scales take column names and build one SQL expression each: a form has 28 answers, and
+# composing them call by call would take the driver longer than running a small report.
 
 
-def likert_ordinal(x: Column) -> Column:
-    """1..4 from the answer text, ignoring case and accents; any other text is null.
+def likert_ordinal(name: str) -> Column:
+    """1..4 from an answer column, ignoring case and accents; any other text is null.
 
     Forms offer fixed answers, so the usual spellings are looked up as they are; only other texts
     pay for folding accents.
     """
-    words = {word: i for i, word in enumerate(fv.RATING_WORDS, start=1)}
-    usual = {answer: words.get(plain, 0) for answer, plain in fv.USUAL_ANSWERS.items()}
-    return F.nullif(F.coalesce(_lookup(x, usual), _lookup(fold_accents(x), words)), F.lit(0))
+    folded = f"translate(lower(`{name}`), '{fv.ACCENTED}', '{fv.UNACCENTED}')"
+    unrated = ", ".join(map(sql_literal, _UNRATED))
+    return F.expr(
+        f"CASE WHEN `{name}` NOT IN ({unrated}) THEN "
+        f"coalesce(element_at({map_sql(_RATED)}, `{name}`), "
+        f"element_at({map_sql(_WORDS)}, {folded})) END"
+    )
 
 
-def likert_fifths(x: Column) -> Column:
-    """0..5 from the exact answer text: 0 for any other text, null for null."""
-    steps = {answer: i for i, answer in enumerate(fv.LIKERT_ANSWERS, start=1)}
-    return F.when(x.isNotNull(), F.coalesce(_lookup(x, steps), F.lit(0)))
+def likert_fifths(name: str) -> Column:
+    """0..5 from the exact answer text of a column: 0 for any other text, null for null."""
+    return F.expr(
+        f"CASE WHEN `{name}` IS NOT NULL THEN "
+        f"coalesce(element_at({map_sql(_FIFTHS)}, `{name}`), 0) END"
+    )
 
 
-def likert_score(x: Column) -> Column:
+def likert_score(name: str) -> Column:
     """0.2, 0.4 .. 1.0 from the exact answer text: 0 for any other text, null for null."""
-    return likert_fifths(x) / F.lit(5.0)
+    return likert_fifths(name) / F.lit(5.0)
 
 
 def rating_label(x: Column, other: str | None = None) -> Column:

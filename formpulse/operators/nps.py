@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from formpulse import fixed_values as fv
 from formpulse.functions import dates, nps
-from formpulse.functions.numbers import half_even, percent_label, share
+from formpulse.functions.numbers import count_when, half_even, percent_label, share
 from formpulse.operators.calendar import join_calendar
 from formpulse.operators.keys import CONSOLIDATION, PERIOD
 from formpulse.operators.periods import drop_null_score, filter_month_in, filter_year
@@ -29,7 +29,7 @@ def nps_summary(
     sign = nps.nps_sign(F.col("nps"), null_score=null_score)
     names = ("detratores", "neutros", "promotores")
     counts = df.groupBy(*keys).agg(
-        *(F.count_if(sign == value).alias(name) for value, name in zip((-1, 0, 1), names,
+        *(count_when(sign == value).alias(name) for value, name in zip((-1, 0, 1), names,
                                                                         strict=True))
     )
     total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
@@ -79,9 +79,9 @@ def _monthly_counts(rows: DataFrame) -> DataFrame:
     classes = zip(CLASS_COUNTS, fv.NPS_CLASSES_V1, strict=True)
     return rows.groupBy("ANO", "MES").agg(
         F.count("*").alias("TOTAL"),
-        F.count_if(F.col("ORIGEM") == fv.ORIGIN_GENERAL).alias("QTDE_GERAL"),
-        F.count_if(F.col("ORIGEM") == fv.ORIGIN_AMBULATORY).alias("QTDE_AMBULATORIO"),
-        *(F.count_if(F.col("CLASSE") == label).alias(name) for name, label in classes),
+        count_when(F.col("ORIGEM") == fv.ORIGIN_GENERAL).alias("QTDE_GERAL"),
+        count_when(F.col("ORIGEM") == fv.ORIGIN_AMBULATORY).alias("QTDE_AMBULATORIO"),
+        *(count_when(F.col("CLASSE") == label).alias(name) for name, label in classes),
     )
 
 

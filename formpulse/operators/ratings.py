@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formpulse import fixed_values as fv
-from formpulse.functions.numbers import row_mean, share
+from formpulse.functions.literals import literal_array
+from formpulse.functions.numbers import count_when, row_mean, share
 from formpulse.operators.keys import CONSOLIDATION
 
 GENERAL, AMBULATORY = "x", "y"
@@ -19,22 +20,46 @@ def rating_by_question(
 ) -> DataFrame:
     """Counts of the four ratings per question.
 
-    Answers are exploded and counted in place: partial aggregation leaves one row per task, period
-    and question, and the four counters compile to a small loop where 28 x 4 counters would not.
+    Answers are exploded with their position and counted in place: partial aggregation leaves one
+    row per task, period and question, and the four counters compile to a small loop where 28 x 4
+    counters would not. Question names replace the positions after the shuffle.
     """
-    answers = F.array(
-        *(F.struct(F.lit(q).alias("x"), F.col(q).alias("rating")) for q in questions)
-    )
-    long = df.select(*keys, F.inline(answers)).where(F.col("rating").isNotNull())
-    return long.groupBy(*keys, "x").agg(
-        *(F.count_if(F.col("rating") == i).alias(label)
+    long = df.select(*keys, F.posexplode(F.array(*questions)).alias("question", "rating"))
+    counts = long.where(F.col("rating").isNotNull()).groupBy(*keys, "question").agg(
+        *(count_when(F.col("rating") == i).alias(label)
           for i, label in enumerate(fv.RATING_LABELS, start=1))
     )
+    name = F.get(literal_array(questions), F.col("question"))
+    return counts.select(*keys, name.alias("x"), *fv.RATING_LABELS)
+
+
+# A form has at most 28 answers, so how often it gives each rating fits into eight bits.
+_BITS = 8
+
+
+def _packed(questions: Sequence[str]) -> Column:
+    """How often a form gives each of the four ratings, packed into one whole number."""
+    if len(questions) >= 2**_BITS:
+        raise ValueError(f"{len(questions)} answers do not fit into {_BITS} bits")
+    return F.expr(" + ".join(
+        f"coalesce(shiftleft(1L, {_BITS} * (`{q}` - 1)), 0L)" for q in questions
+    ))
 
 
-def _answers(df: DataFrame, questions: Sequence[str], keys: Sequence[str], form: str) -> DataFrame:
-    ratings = df.select(*keys, F.explode(F.array(*questions)).alias("rating"))
-    return ratings.where(F.col("rating").isNotNull()).withColumn("form", F.lit(form))
+def _unpacked(packed: str, rating: int) -> Column:
+    shifted = F.shiftright(F.col(packed), _BITS * (rating - 1))
+    return shifted.bitwiseAND(F.lit(2**_BITS - 1))
+
+
+def _packed_forms(
+    keys: Sequence[str], general: DataFrame, ambulatory: DataFrame | None = None
+) -> DataFrame:
+    """One row per form with its packed counts; counting answers needs no exploded rows."""
+    forms = general.select(*keys, _packed(fv.QUESTIONS).alias(GENERAL))
+    if ambulatory is None:
+        return forms
+    others = ambulatory.select(*keys, _packed(fv.AMBULATORY_QUESTIONS).alias(AMBULATORY))
+    return forms.unionByName(others, allowMissingColumns=True).fillna(0, [GENERAL, AMBULATORY])
 
 
 def _bucket(df: DataFrame, questions: Sequence[str], keys: Sequence[str], form: str) -> DataFrame:
@@ -52,7 +77,7 @@ def _four_by_two(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per period with counters ``x1``..``x4`` and ``y1``..``y4``, in one shuffle."""
     return rows.groupBy(*keys).agg(
         *(
-            F.count_if((F.col("form") == form) & (F.col("rating") == r)).alias(f"{form}{r}")
+            count_when((F.col("form") == form) & (F.col("rating") == r)).alias(f"{form}{r}")
             for form in (GENERAL, AMBULATORY)
             for r in range(1, 5)
         )
@@ -77,7 +102,10 @@ def rating_distribution(
     zeros. The four ratings of a period sit in one row until the end, so neither the merge of the
     forms nor the shares need a join or a window.
     """
-    wide = _four_by_two(_both_forms(general, ambulatory, keys, _answers), keys)
+    wide = _packed_forms(keys, general, ambulatory).groupBy(*keys).agg(
+        *(F.sum(_unpacked(form, r)).alias(f"{form}{r}")
+          for form in (GENERAL, AMBULATORY) for r in range(1, 5))
+    )
     kept = _kept(complete)
     totals = {
         form: sum((F.when(kept[r], F.col(f"{form}{r}")).otherwise(0) for r in range(2, 5)),
@@ -123,11 +151,10 @@ def rating_distribution_general(
     general: DataFrame, keys: Sequence[str] = CONSOLIDATION
 ) -> DataFrame:
     """The older rule: totals and percents of the general form alone."""
-    answers = _answers(general, fv.QUESTIONS, keys, GENERAL)
-    wide = answers.groupBy(*keys).agg(
-        *(F.count_if(F.col("rating") == r).alias(f"x{r}") for r in range(1, 5)),
-        F.count("*").alias("__x"),
+    wide = _packed_forms(keys, general).groupBy(*keys).agg(
+        *(F.sum(_unpacked(GENERAL, r)).alias(f"x{r}") for r in range(1, 5))
     )
+    wide = wide.withColumn("__x", F.expr("x1 + x2 + x3 + x4"))
     rows = F.array(
         *(F.struct(F.lit(label).alias("avaliacao"), F.col(f"x{r}").alias("freq"))
           for r, label in enumerate(fv.RATING_LABELS, start=1))
@@ -182,7 +209,7 @@ def good_or_excellent_indicator(
     kept = _kept(complete)
     wide = buckets.groupBy(*keys).agg(
         *(
-            F.count_if((F.col("form") == form) & (F.col("rating") == r)).alias(f"{form}{r}")
+            count_when((F.col("form") == form) & (F.col("rating") == r)).alias(f"{form}{r}")
             for form in (GENERAL, AMBULATORY)
             for r in (3, 4)
         ),

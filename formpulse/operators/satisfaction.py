@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from formpulse import fixed_values as fv
 from formpulse.functions import dates, nps
-from formpulse.functions.numbers import exact_mean, exact_sum, half_even, percent_label, row_mean
+from formpulse.functions.numbers import count_when, exact_mean, exact_sum, half_even, percent_label, row_mean
 from formpulse.functions.ratings import MEAN_DENOMINATOR, likert_fifths, likert_score
 from formpulse.operators.keys import CONSOLIDATION
 from formpulse.operators.reshape import dcast, share_of_total
@@ -60,7 +60,7 @@ def composite_satisfaction(
     """
     names = [f"S{i:02d}" for i in range(1, len(questions) + 1)]
     # Whole fifths are added and divided once, so the sum is exact.
-    fifths = [F.lit(0) if q is None else likert_fifths(F.col(q)) for q in questions]
+    fifths = [F.lit(0) if q is None else likert_fifths(q) for q in questions]
     year, month = _consolidation_period(raw_general)
     scored = raw_general.select(
         *(c for c in raw_general.columns if c not in fv.LAYOUTS["general46"]),
@@ -125,7 +125,7 @@ def ambulatory_satisfaction(raw_ambulatory: DataFrame, min_year: int = 2019) ->
     missing where an answer is missing before that is decided. A missing NPS counts as neutral.
     """
     year, month = _consolidation_period(raw_ambulatory)
-    reception, doctor = likert_fifths(F.col("recepcao")), likert_fifths(F.col("medico"))
+    reception, doctor = likert_fifths("recepcao"), likert_fifths("medico")
     scored = raw_ambulatory.select(
         year.alias("ANO"),
         F.when(dates.month_ordinal(month).isNotNull(), month).alias("MES"),
@@ -157,7 +157,7 @@ def reception_frequency(
 ) -> DataFrame:
     """Score of the reception answers per month: answers, good ones, total, frequency and loss."""
     year, month = _consolidation_period(raw_ambulatory)
-    fifths = likert_fifths(F.col(question))
+    fifths = likert_fifths(question)
     answers = raw_ambulatory.select(
         year.alias("ANO"),
         F.when(dates.month_ordinal(month).isNotNull(), month).alias("MES"),
@@ -166,7 +166,7 @@ def reception_frequency(
     ).where((F.col("ANO") >= min_year) & F.col("NOTA").isNotNull() & (F.col("__fifths") > 0))
     counts = answers.groupBy("ANO", "MES").agg(
         F.count("*").alias("N_RESPOSTAS"),
-        F.count_if(F.col("NOTA").isin(*fv.GOOD_ANSWERS)).alias("BOM_OTIMO"),
+        count_when(F.col("NOTA").isin(*fv.GOOD_ANSWERS)).alias("BOM_OTIMO"),
         (F.sum("__fifths") / 5.0).alias("SCORE_TOTAL"),
     )
     frequency = half_even(F.col("SCORE_TOTAL") / F.col("N_RESPOSTAS") * 100, 1)
@@ -189,7 +189,7 @@ def score_distribution_for_year(
 ) -> DataFrame:
     """How often each score was given to a question in a year; missing answers are one group."""
     chosen = raw_general.where(F.col("ano_consolidacao").try_cast("int") == year)
-    return chosen.groupBy(likert_score(F.col(question)).alias("score")).agg(
+    return chosen.groupBy(likert_score(question).alias("score")).agg(
         F.count("*").alias("n")
     )
 
@@ -216,4 +216,4 @@ def answer_frequency(raw: DataFrame, question: str) -> DataFrame:
 def distinct_answers(raw: DataFrame, question: str) -> DataFrame:
     """Distinct answer texts of a question with their scores."""
     answers = raw.select(F.col(question).alias("resposta")).distinct()
-    return answers.withColumn("score", likert_score(F.col("resposta")))
+    return answers.withColumn("score", likert_score("resposta"))

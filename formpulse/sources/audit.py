@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formpulse.functions import dates
+from formpulse.functions.numbers import count_when
 
 STATUS_OK = "success"
 STATUS_ERROR = "error"
@@ -24,9 +25,9 @@ def ingest_audit(
     malformed = F.col(malformed_column).isNotNull() if malformed_column else F.lit(False)
     counts = raw.agg(
         F.count("*").alias("n_rows"),
-        F.count_if(bad_date).alias("n_bad_date"),
-        F.count_if(bad_score).alias("n_bad_score"),
-        F.count_if(malformed).alias("n_malformed"),
+        count_when(bad_date).alias("n_bad_date"),
+        count_when(bad_score).alias("n_bad_score"),
+        count_when(malformed).alias("n_malformed"),
     )
     status = F.when(F.col("n_rows") > F.col("n_bad_date"), STATUS_OK).otherwise(STATUS_ERROR)
     return counts.select(

@@ -41,7 +41,7 @@ def normalize_general(df: DataFrame, *, min_year: int | None = fv.GENERAL_MIN_YE
         "contato",
         text.normalize_consent(F.col("autorizo")).alias("autorizo"),
         "setor",
-        *(ratings.likert_ordinal(F.col(q)).alias(q) for q in fv.QUESTIONS),
+        *(ratings.likert_ordinal(q).alias(q) for q in fv.QUESTIONS),
         *fv.COMMENT_KINDS,
         *_consolidation(),
         *((F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c)
@@ -63,7 +63,7 @@ def normalize_ambulatory(df: DataFrame) -> DataFrame:
         ts.alias("data"),
         "nome",
         "contato",
-        *(ratings.likert_ordinal(F.col(q)).alias(q) for q in fv.AMBULATORY_QUESTIONS),
+        *(ratings.likert_ordinal(q).alias(q) for q in fv.AMBULATORY_QUESTIONS),
         *fv.COMMENT_KINDS,
         "atendente",
         *_consolidation(),

@@ -17,12 +17,12 @@ def values(spark, column, data, kind="string"):
 def test_likert_ordinal(spark):
     given = ["Ruim", "REGULAR", "bom", "Ótimo", "otimo", "ÓTIMO", "Não se aplica", "nao se aplica",
              "Péssimo", "", None, "talvez"]
-    assert values(spark, fn.likert_ordinal, given) == [1, 2, 3, 4, 4, 4] + [None] * 6
+    assert values(spark, lambda _: fn.likert_ordinal("x"), given) == [1, 2, 3, 4, 4, 4] + [None] * 6
 
 
 def test_likert_score(spark):
     given = ["Péssimo", "Ruim", "Regular", "Bom", "Ótimo", "Não se aplica", "", "bom", None]
-    assert values(spark, fn.likert_score, given) == [0.2, 0.4, 0.6, 0.8, 1.0, 0, 0, 0, None]
+    assert values(spark, lambda _: fn.likert_score("x"), given) == [0.2, 0.4, 0.6, 0.8, 1.0, 0, 0, 0, None]
 
 
 def test_rating_label(spark):
