@@ -31,7 +31,9 @@ def attendant_ranking(
 ) -> DataFrame:
     """The crosstab with the number of people asked and its rank, ties sharing their mean rank."""
     ratings = attendant_ratings(ambulatory, keys, question)
-    asked = F.col("Otimo") + F.col("Bom") + F.col("Regular") + F.col("Ruim")
+    # Added in column order, so that ranks and rows are recognised as the same aggregate and the
+    # forms are read and shuffled once.
+    asked = F.expr(" + ".join(RATING_COLUMNS.values()))
     return rank_average_ties(ratings.withColumn("QTDE_PESQUISADOS", asked), "QTDE_PESQUISADOS",
                              keys)
 

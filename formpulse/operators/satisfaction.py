@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from formpulse import fixed_values as fv
 from formpulse.functions import dates, nps
-from formpulse.functions.numbers import count_when, exact_mean, exact_sum, half_even, percent_label, row_mean
+from formpulse.functions.numbers import (
+    count_when,
+    exact_mean,
+    exact_sum,
+    half_even,
+    percent_label,
+    row_mean,
+)
 from formpulse.functions.ratings import MEAN_DENOMINATOR, likert_fifths, likert_score
 from formpulse.operators.keys import CONSOLIDATION
 from formpulse.operators.reshape import dcast, share_of_total

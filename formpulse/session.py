@@ -32,5 +32,7 @@ def work_folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="formpulse-")
     return f"{base}/formpulse-{uuid.uuid4().hex}"

@@ -74,6 +74,14 @@ def test_plan_stays_in_the_jvm_and_distributed(spark, name):
         assert re.search(r"\], \[[a-z]", window), f"window without partition: {window}"
 
 
+@pytest.mark.parametrize("name", ["sector_share", "share_of_total", "attendant_ranking"])
+def test_totals_and_ranks_reuse_the_first_shuffle(spark, name):
+    df = QUERIES[name](spark, str(DATA))
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
 def test_scan_reads_only_what_it_needs(spark):
     text = plan(spark, "nps_summary")
     schema = re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)
