@@ -91,15 +91,19 @@ def clean_manifestations(df: DataFrame, *, null_score: str = "detractor") -> Dat
     default ``null_score`` classes a missing score as detractor, but the score stays null.
     """
     texts = [F.col(c) for c in fv.MANIFESTATION_TYPES[:3]]
-    ts = dates.parse_survey_timestamp(F.col("data"))
-    score = F.col("nps").try_cast("int")
+    # Time and score are parsed in a step of their own, since several columns derive from each.
+    df = df.withColumns({
+        "data": dates.parse_survey_timestamp(F.col("data")),
+        "nps": F.col("nps").try_cast("int"),
+    })
+    ts, score = F.col("data"), F.col("nps")
     nps_class = nps.nps_class(score, style="v2", null_score=null_score)
     typed = df.select(
         *_extra(df, "manifestation10"),
         *(c.alias(name) for name, c in dates.derive_period(ts).items()),
-        ts.alias("data"),
+        ts,
         text.normalize_sector(F.col("setor")).alias("setor"),
-        score.alias("nps"),
+        score,
         nps_class.alias("classe"),
         nps.nps_flag(nps_class).alias("flag"),
         text.manifestation_type(*texts).alias("tipo"),
