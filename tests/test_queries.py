@@ -7,13 +7,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from checks.registry import ORACLE, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 DUCKDB_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
                 "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
-QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the benchmark tables")
 
@@ -41,6 +41,8 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLE) <= set(entry_points.oracle_sql())
 
 
 def test_entry(spark):
