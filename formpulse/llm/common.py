@@ -16,6 +16,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """Settings for long rows: adaptive execution, and few rows in an Arrow batch."""
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,7 +46,3 @@ def spread(df: DataFrame) -> int:
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-
-def temp(name: str) -> str:
-    """A column name that cannot clash with those of a caller's frame."""
-    return f"__{name}_{uuid.uuid4().hex[:8]}"

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from .common import Query
+from pyspark.sql import DataFrame, SparkSession
+
+from .common import Query, prepared
+from .neardup import op7_minhash
+from .packing import op10_packing
+from .quality import op5_quality
 from .secrets import op4_secrets
 from .sharding import op1_sharding
+from .warc import op9_warc
+
+
+def _prepared(run: Query) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run(prepared(spark), sf_dir)
+
+    return query
+
 
-QUERIES: dict[str, Query] = {
-    "op1_sharding": op1_sharding,
-    "op4_secrets": op4_secrets,
-}
+QUERIES: dict[str, Query] = {f.__name__: _prepared(f) for f in (
+    op1_sharding, op4_secrets, op5_quality, op7_minhash, op9_warc, op10_packing)}
 ORACLE: dict[str, str] = {}

@@ -59,32 +59,33 @@ def _walk(points: DataFrame, shards: int, slack: float) -> DataFrame:
     """
     ranked = Window.partitionBy("shard").orderBy("point").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    total = points.agg(F.sum("n").alias("total"))
-    room = (F.floor(F.col("total") / shards)
-            + F.when(F.col("shard") < F.col("total") % shards, 1).otherwise(0))
+    # One row per point: these windows and arrays are bounded by the ring's parameters.
+    everything = Window.partitionBy(F.lit(0))
+    of_shard = Window.partitionBy("shard")
+    total = F.sum("n").over(everything)
     if slack:
-        room = F.ceil(F.col("total") * (1 + slack) / shards).cast("long")
+        room = F.ceil(total * (1 + slack) / shards).cast("long")
+    else:
+        room = F.floor(total / shards) + F.when(F.col("shard") < total % shards, 1).otherwise(0)
     offered = (
         points.withColumn("seen", F.sum("n").over(ranked))
-        .join(F.broadcast(total))  # one row
         .withColumn("room", room)
         .withColumn("home", F.greatest(
             F.lit(0), F.least(F.col("n"), F.col("room") - F.col("seen") + F.col("n"))))
         .withColumn("over", F.col("n") - F.col("home"))
+        .withColumn("free", F.greatest(F.lit(0), F.col("room") - F.sum("n").over(of_shard)))
     )
-    free = offered.groupBy("shard").agg(
-        F.greatest(F.lit(0), F.first("room") - F.sum("n")).alias("free"))
+    one = offered.agg(F.array_sort(F.collect_list(
+        F.struct("point", "shard", "n", "home", "over", "free"))).alias("points"))
     # Shards without a point of their own (all their cells taken) have no room to offer.
-    one = offered.agg(F.array_sort(F.collect_list(F.struct("point", "shard", "n", "home", "over")))
-                      .alias("points")).join(F.broadcast(free.agg(
-                          F.map_from_entries(F.collect_list(F.struct("shard", "free"))).alias("m"))))
     one = one.select("points", F.expr(
-        f"transform(sequence(0, {shards - 1}), s -> coalesce(m[s], 0L))").alias("free"))
+        f"transform(sequence(0, {shards - 1}), s -> coalesce("
+        "get(filter(points, p -> p.shard = s), 0).free, 0L))").alias("free"))
     # Two laps: the queue that is left after the first meets every shard again in the second.
     walked = one.select("points", F.expr("""
         aggregate(
           concat(points, transform(points, p -> named_struct('point', p.point, 'shard', p.shard,
-                 'n', p.n, 'home', p.home, 'over', 0L))),
+                 'n', p.n, 'home', p.home, 'over', 0L, 'free', 0L))),
           named_struct('free', free, 'waiting', 0L, 'served', 0L,
                        'takes', array_repeat(named_struct('from', 0L, 'to', 0L, 'shard', 0), 0)),
           (a, p) -> named_struct(
