@@ -26,7 +26,7 @@ NAMES = ("word_length", "symbols", "capitals", "repeats", "lines")
 D = len(NAMES)
 #: Deviation below which a statistic is never held against a text, added to each estimate's
 #: variances: most sources have no symbols and no repeats at all.
-FLOORS = (0.08, 0.05, 0.08, 0.10, 0.12)
+FLOORS = (0.08, 0.04, 0.08, 0.12, 0.15)
 #: 3/4 of a normal sample hold this fraction of its variance (five dimensions): q = 6.6257 is the
 #: 0.75 quantile of chi-square 5, and P(chi-square 7 <= q) / 0.75 = 0.708.
 SHRUNK = 0.708

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses, urls
 from .common import Query, prepared
+from .decontaminate import op6_decontaminate
+from .licenses import op3_licences
+from .linededup import op2_line_dedup
 from .neardup import op7_minhash
 from .packing import op10_packing
 from .quality import op5_quality
 from .secrets import op4_secrets
 from .sharding import op1_sharding
+from .urls import op8_urls
 from .warc import op9_warc
 
 
@@ -21,5 +26,6 @@ def _prepared(run: Query) -> Query:
 
 
 QUERIES: dict[str, Query] = {f.__name__: _prepared(f) for f in (
-    op1_sharding, op4_secrets, op5_quality, op7_minhash, op9_warc, op10_packing)}
-ORACLE: dict[str, str] = {}
+    op1_sharding, op2_line_dedup, op3_licences, op4_secrets, op5_quality, op6_decontaminate, op7_minhash,
+    op8_urls, op9_warc, op10_packing)}
+ORACLE: dict[str, str] = {"op3_licences": licenses.ORACLE, "op8_urls": urls.ORACLE}
