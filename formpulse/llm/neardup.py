@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT
     repeated = worded.groupBy("doc_id").agg(F.min("words").alias("low"), F.max("words").alias("high")).where("low <> high")
     same_id = worded.join(repeated.select("doc_id"), "doc_id").join(vertices.select("words", "vertex"), "words").select(
         F.col("doc_id").alias("a"), F.col("vertex").alias("b"))
-    split = dealt.where("blocks > 1").select("hood", "vertex", "text", "block")
+    split = dealt.where("blocks > 1").select("hood", "vertex", "text", "w")
     if split.limit(1).count():
         labels = components(links)
         split = split.join(labels.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn(
