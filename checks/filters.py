@@ -102,15 +102,17 @@ def _(spark, d):
 @query("has_comment", S.with_("general", select=f"""
 SELECT 'elogios' AS kind, id, elogios AS texto FROM g WHERE {S.trim_ws("elogios")} <> ''
 UNION ALL
-SELECT 'sugestoes', id, sugestoes FROM g WHERE {S.trim_ws("sugestoes")} <> ''"""))
+SELECT 'sugestoes', id, sugestoes FROM g WHERE {S.trim_ws("sugestoes")} <> ''
+UNION ALL
+SELECT 'reclamacoes', id, reclamacoes FROM g WHERE {S.trim_ws("reclamacoes")} <> ''"""))
 def _(spark, d):
     forms = b.general(spark, d)
-    praise, ideas = (
+    praise, ideas, complaints = (
         periods.with_comment(forms, kind).select(F.lit(kind).alias("kind"), "id",
                                                  F.col(kind).alias("texto"))
-        for kind in ("elogios", "sugestoes")
+        for kind in fv.COMMENT_KINDS
     )
-    return praise.unionByName(ideas)
+    return praise.unionByName(ideas).unionByName(complaints)
 
 
 @query("complete_cases", S.with_("ambulatory", select="""
@@ -152,11 +154,12 @@ def _(spark, d):
 
 
 @query("validate_period_args", S.with_("manifestations", select="""
-SELECT periodo, tipo, count(*) AS n FROM m GROUP BY ALL"""))
+SELECT periodo, tipo, count(*) AS n FROM m WHERE ano = 1999 AND mes = 8 GROUP BY ALL"""))
 def _(spark, d):
-    year, month = periods.validate_period_args(2019, "Agosto")
-    assert (year, month) == (2019, "Agosto")
-    return periods.subset_row_counts(b.manifestations(spark, d), "tipo")
+    year, month = periods.validate_period_args(1999, "Agosto")
+    wanted = f"{year}/{fv.MONTHS.index(month) + 1:02d}"
+    rows = periods.filter_period_key(b.manifestations(spark, d), wanted)
+    return periods.subset_row_counts(rows, "tipo")
 
 
 @query("iterate_periods", S.with_("general", select="""

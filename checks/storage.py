@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import sql as S
-from checks.aggregates import _ALL_COMMENTS, _DISTINCT_COMMENTS
+from checks.aggregates import _DISTINCT_COMMENTS
 from checks.columns import RAW_COLUMNS_SQL
 from checks.filters import _RANKED, _RATED
 from checks.registry import query
@@ -187,5 +187,3 @@ def _(spark, d):
                         f"{root}/progress").awaitTermination()
     return read_period_stats(spark, f"{root}/stats")
 
-
-__all__ = ["_ALL_COMMENTS", "export"]

@@ -19,7 +19,6 @@ CALENDAR_FIRST_YEAR = 2018
 SEMESTER_SUFFIX = "º sim"
 QUARTER_SUFFIX = "º tri"
 BIMESTER_SUFFIX = "º bim"
-PERIOD_ARG_YEARS = (2017, 2025)
 GENERAL_MIN_YEAR = 2017
 REFERENCE_MONTHS = ("Outubro", "Novembro", "Dezembro")
 ATTENDANT_REPORT_MONTHS = ("Novembro", "Dezembro")

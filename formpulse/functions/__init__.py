@@ -33,7 +33,6 @@ from formpulse.functions.ratings import (  # noqa: F401
 )
 from formpulse.functions.text import (  # noqa: F401
     cast_id,
-    fold_accents,
     has_comment,
     manifestation_text,
     manifestation_type,

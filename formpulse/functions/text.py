@@ -18,19 +18,19 @@ def strip_all(x: Column) -> Column:
     return F.btrim(x, F.lit(fv.UNICODE_BLANKS))
 
 
-def fold_accents(x: Column) -> Column:
-    """Lower case without Portuguese accents."""
-    return F.translate(F.lower(x), fv.ACCENTED, fv.UNACCENTED)
-
-
 def normalize_sector(x: Column) -> Column:
     return F.upper(strip_all(x))
 
 
 def normalize_name(x: Column) -> Column:
-    """Title case where a capital follows every non-letter, so also after ``'`` and ``-``."""
-    runs = F.regexp_extract_all(strip_all(x), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    return F.array_join(F.transform(runs, F.initcap), "")
+    """Title case where a capital follows every non-letter, so also after ``'`` and ``-``.
+
+    Names of letters and blanks take the plain function; only others are cut into runs.
+    """
+    name = strip_all(x)
+    runs = F.regexp_extract_all(name, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    cut = F.array_join(F.transform(runs, F.initcap), "")
+    return F.when(F.regexp_like(name, F.lit(r"[^\p{L} ]")), cut).otherwise(F.initcap(name))
 
 
 def normalize_email(x: Column) -> Column:
@@ -47,8 +47,10 @@ def normalize_consent(x: Column) -> Column:
 
 
 def cast_id(x: Column) -> Column:
-    """Numeric id; text that is not a number becomes null."""
-    return x.try_cast("bigint")
+    """Numeric id; text that is not a whole number becomes null. ``12.0``, which exports with blanks
+    in a number column give, is 12."""
+    whole = F.regexp_replace(x.cast("string"), r"\.0*\s*$", "")
+    return whole.try_cast("bigint")
 
 
 def prefix_id(x: Column, prefix: str) -> Column:

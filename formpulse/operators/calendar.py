@@ -42,13 +42,30 @@ def calendar_dimension(
     )
 
 
+def calendar_of(*forms: DataFrame, year: str = "ano_consolidacao") -> DataFrame:
+    """The calendar of all years in which there are forms, and up to the current one; one row of
+    bounds per frame reaches the driver."""
+    bounds = [y for f in forms for y in f.agg(F.min(year), F.max(year)).first() if y is not None]
+    this_year = datetime.date.today().year
+    return calendar_dimension(
+        forms[0].sparkSession, min([*bounds, this_year]), max([*bounds, this_year]))
+
+
 def join_calendar(
     df: DataFrame, calendar: DataFrame, year: str = "ANO", month: str = "MES"
 ) -> DataFrame:
     """Left join on year and month name; rows with an unknown month keep a null period.
 
-    The broadcast is bounded: the calendar has twelve rows per year and nothing else.
+    A calendar that names a month twice would multiply rows, so its months are made distinct: rows
+    that differ in their labels end the run. No broadcast is forced; the calendar's size is known to
+    the optimizer or found by adaptive execution.
     """
+    rest = [c for c in calendar.columns if c not in ("ANO", "MES")]
+    alike = calendar.groupBy("ANO", "MES").agg(
+        F.min(F.struct(*rest)).alias("__one"), F.max(F.struct(*rest)).alias("__other"))
+    same = F.when(F.col("__one").eqNullSafe(F.col("__other")), F.col("__one")).otherwise(
+        F.raise_error(F.concat(F.lit("the calendar has different rows for "), F.col("MES"))))
+    calendar = alike.select("ANO", "MES", same.alias("__one")).select("ANO", "MES", "__one.*")
     side = calendar.withColumnsRenamed({"ANO": "__ano", "MES": "__mes"})
     on = (df[year] == side["__ano"]) & (df[month] == side["__mes"])
-    return df.join(F.broadcast(side), on, "left").drop("__ano", "__mes")
+    return df.join(side, on, "left").drop("__ano", "__mes")

@@ -58,12 +58,15 @@ def nps_by_month(df: DataFrame, keys: Sequence[str] = CONSOLIDATION) -> DataFram
     return counts.withColumn("PROP", _balance(F.col("QTDE_FORM"), F.col("NPS_SCORE")))
 
 
-def nps_rows(general: DataFrame, ambulatory: DataFrame) -> DataFrame:
-    """Both forms' scored answers with origin, class and sign."""
-    columns = [*CONSOLIDATION, "id", "nps"]
+def nps_rows(
+    general: DataFrame, ambulatory: DataFrame, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Both forms' scored answers with origin, class and sign, after ``keys`` such as ``site``."""
+    columns = [*keys, *CONSOLIDATION, "id", "nps"]
     both = union_forms(drop_null_score(general), drop_null_score(ambulatory), columns,
                        origin="ORIGEM")
     return both.select(
+        *keys,
         F.col("ano_consolidacao").alias("ANO"),
         F.col("mes_consolidacao").alias("MES"),
         "ORIGEM",
@@ -74,10 +77,10 @@ def nps_rows(general: DataFrame, ambulatory: DataFrame) -> DataFrame:
     )
 
 
-def _monthly_counts(rows: DataFrame) -> DataFrame:
+def _monthly_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts per year and month, so that the calendar joins a few hundred rows, not the forms."""
     classes = zip(CLASS_COUNTS, fv.NPS_CLASSES_V1, strict=True)
-    return rows.groupBy("ANO", "MES").agg(
+    return rows.groupBy(*keys, "ANO", "MES").agg(
         F.count("*").alias("TOTAL"),
         count_when(F.col("ORIGEM") == fv.ORIGIN_GENERAL).alias("QTDE_GERAL"),
         count_when(F.col("ORIGEM") == fv.ORIGIN_AMBULATORY).alias("QTDE_AMBULATORIO"),
@@ -85,9 +88,12 @@ def _monthly_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def nps_by_period_origin(rows: DataFrame, calendar: DataFrame) -> DataFrame:
+def nps_by_period_origin(
+    rows: DataFrame, calendar: DataFrame, keys: Sequence[str] = ()
+) -> DataFrame:
     """Forms per period and origin with the sum of signs; unmatched months share a null period."""
-    counts = join_calendar(_monthly_counts(rows), calendar).groupBy("PERIODO_CURTO").agg(
+    joined = join_calendar(_monthly_counts(rows, keys), calendar)
+    counts = joined.groupBy(*keys, "PERIODO_CURTO").agg(
         F.sum("TOTAL").alias("QTDE_FORM"),
         F.sum("QTDE_GERAL").alias("QTDE_GERAL"),
         F.sum("QTDE_AMBULATORIO").alias("QTDE_AMBULATORIO"),
@@ -97,20 +103,21 @@ def nps_by_period_origin(rows: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def nps_composition(
-    rows: DataFrame, calendar: DataFrame, quarter: str | None = None
+    rows: DataFrame, calendar: DataFrame, quarter: str | None = None, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Class counts and whole percents per calendar period, of one quarter or of all.
 
     The score is the difference of the rounded percents, so it can differ by a point from
     :func:`nps_summary`.
     """
-    joined = join_calendar(_monthly_counts(rows), calendar)
+    joined = join_calendar(_monthly_counts(rows, keys), calendar)
     wanted = F.col("ID_TRIMESTRE").isNotNull() if quarter is None else (
         F.col("ID_TRIMESTRE") == quarter)
-    sums = joined.where(wanted).groupBy("ID_TRIMESTRE", "PERIODO_CURTO").agg(
+    sums = joined.where(wanted).groupBy(*keys, "ID_TRIMESTRE", "PERIODO_CURTO").agg(
         *(F.sum(c).alias(c) for c in (*CLASS_COUNTS, "TOTAL"))
     )
     percents = sums.select(
+        *keys,
         "ID_TRIMESTRE",
         F.col("PERIODO_CURTO").alias("PERIODO"),
         *CLASS_COUNTS,
@@ -123,27 +130,30 @@ def nps_composition(
     )
 
 
-def nps_quarter_total(rows: DataFrame, calendar: DataFrame) -> DataFrame:
+def nps_quarter_total(
+    rows: DataFrame, calendar: DataFrame, keys: Sequence[str] = ()
+) -> DataFrame:
     """Scored forms per quarter."""
-    joined = join_calendar(_monthly_counts(rows), calendar)
-    return joined.where(F.col("ID_TRIMESTRE").isNotNull()).groupBy("ID_TRIMESTRE").agg(
+    joined = join_calendar(_monthly_counts(rows, keys), calendar)
+    return joined.where(F.col("ID_TRIMESTRE").isNotNull()).groupBy(*keys, "ID_TRIMESTRE").agg(
         F.sum("TOTAL").alias("TOTAL")
     )
 
 
 def compared_rows(
     general: DataFrame, ambulatory: DataFrame, year: int,
-    months: Sequence[str] = fv.REFERENCE_MONTHS,
+    months: Sequence[str] = fv.REFERENCE_MONTHS, keys: Sequence[str] = (),
 ) -> DataFrame:
     """Scored answers of both forms in chosen months of a year, with prefixed ids."""
 
     def chosen(df: DataFrame) -> DataFrame:
         return filter_month_in(filter_year(drop_null_score(df), year), months)
 
-    both = union_forms(chosen(general), chosen(ambulatory), [*CONSOLIDATION, "id", "nps"],
+    both = union_forms(chosen(general), chosen(ambulatory), [*keys, *CONSOLIDATION, "id", "nps"],
                        origin=None, prefix_ids=True)
     period = F.concat(F.col("ano_consolidacao").cast("string"), F.lit("/"), "mes_consolidacao")
     return both.select(
+        *keys,
         period.alias("PERIODO"),
         dates.month_ordinal(F.col("mes_consolidacao")).alias("MES_ORDINAL"),
         F.col("id").alias("ID"),
@@ -155,11 +165,11 @@ def compared_rows(
 
 def nps_compare_forms(
     general: DataFrame, ambulatory: DataFrame, year: int,
-    months: Sequence[str] = fv.REFERENCE_MONTHS,
+    months: Sequence[str] = fv.REFERENCE_MONTHS, keys: Sequence[str] = (),
 ) -> DataFrame:
     """Class counts per chosen month, both forms together."""
-    rows = compared_rows(general, ambulatory, year, months)
-    return dcast(rows, ["PERIODO", "MES_ORDINAL"], "CLASSE",
+    rows = compared_rows(general, ambulatory, year, months, keys)
+    return dcast(rows, [*keys, "PERIODO", "MES_ORDINAL"], "CLASSE",
                  dict(zip(fv.NPS_CLASSES_V1, CLASS_COUNTS, strict=True)))
 
 

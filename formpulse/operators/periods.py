@@ -12,11 +12,13 @@ from formpulse.functions.text import has_comment
 from formpulse.operators.keys import CONSOLIDATION, PERIOD
 
 
-def validate_period_args(year: int, month: str) -> tuple[int, str]:
-    """Return the pair if the year is in range and the month is a Portuguese month name."""
-    first, last = fv.PERIOD_ARG_YEARS
-    if not first <= int(year) <= last:
-        raise ValueError(f"year must be {first}..{last}: {year}")
+def validate_period_args(
+    year: int, month: str, years: tuple[int, int] | None = None
+) -> tuple[int, str]:
+    """Return the pair if the month is a Portuguese month name, and the year is in ``years`` if
+    given."""
+    if years is not None and not years[0] <= int(year) <= years[1]:
+        raise ValueError(f"year must be {years[0]}..{years[1]}: {year}")
     if month not in fv.MONTHS:
         raise ValueError(f"month must be one of {', '.join(fv.MONTHS)}: {month}")
     return int(year), month

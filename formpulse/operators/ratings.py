@@ -240,12 +240,14 @@ def sector_form_counts(
 ) -> DataFrame:
     """Forms per sector and period; ambulatory forms count for the ambulatory sector.
 
-    Every period of the general form has an ambulatory row, with 0 if need be: each general form
-    also carries a weight of 0 for that sector, which partial aggregation folds away.
+    Every period of the general form has an ambulatory row, with 0 if need be; those rows are added
+    to the counts, not to the forms.
     """
-    here = F.struct(informed_sector(F.col("setor")).alias("setor"), F.lit(1).alias("w"))
-    none = F.struct(F.lit(fv.SECTOR_AMBULATORY).alias("setor"), F.lit(0).alias("w"))
-    rows = general.select(*keys, F.inline(F.array(here, none))).unionByName(
-        ambulatory.select(*keys, F.lit(fv.SECTOR_AMBULATORY).alias("setor"), F.lit(1).alias("w"))
-    )
-    return rows.groupBy(*keys, "setor").agg(F.sum("w").alias("qtde"))
+    rows = general.select(*keys, informed_sector(F.col("setor")).alias("setor")).unionByName(
+        ambulatory.select(*keys, F.lit(fv.SECTOR_AMBULATORY).alias("setor")))
+    counts = rows.groupBy(*keys, "setor").agg(F.count("*").alias("qtde"))
+    # The counts of a period are few: its sectors.
+    listed = counts.groupBy(*keys).agg(F.collect_list(F.struct("setor", "qtde")).alias("s"))
+    zero = F.array(F.struct(F.lit(fv.SECTOR_AMBULATORY).alias("setor"), F.lit(0).cast("long").alias("qtde")))
+    known = F.exists("s", lambda x: x["setor"] == fv.SECTOR_AMBULATORY)
+    return listed.select(*keys, F.inline(F.when(known, F.col("s")).otherwise(F.concat("s", zero))))

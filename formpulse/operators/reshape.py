@@ -117,15 +117,16 @@ def domain_order(df: DataFrame, column: str, levels: Sequence[str], *first: str)
 def equal_width_histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Counts in ``bins`` equal-width bins over the value's range.
 
-    Bins are closed on the right, the first one also on the left; empty bins give no row. The two
-    bounds are scalar subqueries, so values are never joined or sorted.
+    Bins are closed on the right, the first one also on the left; empty bins give no row. Missing
+    values and NaN are left out. Both bounds are one scalar subquery, so values are never joined or
+    sorted.
     """
     if bins < 1:
         raise ValueError(f"bins must be positive: {bins}")
-    x = F.col(value).cast("double")
-    low = df.agg(F.min(x).alias("low")).scalar()
-    high = df.agg(F.max(x).alias("high")).scalar()
-    binned = df.where(x.isNotNull()).select(x.alias("x"), low.alias("low"), high.alias("high"))
+    raw = F.col(value).cast("double")
+    numbers = df.select(F.when(~F.isnan(raw), raw).alias("x")).where("x IS NOT NULL")
+    bounds = numbers.agg(F.struct(F.min("x").alias("low"), F.max("x").alias("high")).alias("b")).scalar()
+    binned = numbers.select("x", bounds.alias("b")).select("x", "b.low", "b.high")
     width = (F.col("high") - F.col("low")) / F.lit(float(bins))
     position = F.when(width > 0, F.ceil((F.col("x") - F.col("low")) / width)).otherwise(F.lit(1))
     binned = binned.select(

@@ -101,11 +101,10 @@ def satisfaction_by_period(
     so it merges map-side and stays small. ``approximate_median`` is for other wide columns.
     """
     value = F.col("SATISFACAO")
-    median = F.percentile_approx(value, 0.5) if approximate_median else F.median(value)
     stats = {
         "TOTAL_SATISFACAO": exact_sum(value, COMPOSITE_DENOMINATOR),
         "MEDIA": exact_mean(value, COMPOSITE_DENOMINATOR),
-        "MEDIANA": median,
+        "MEDIANA": F.percentile_approx(value, 0.5) if approximate_median else F.median(value),
     }
     if strict_nulls:
         whole = F.count(value) == F.count("*")
@@ -115,17 +114,21 @@ def satisfaction_by_period(
     )
 
 
-def satisfaction_table_for_year(composite: DataFrame, year: int) -> DataFrame:
+def satisfaction_table_for_year(
+    composite: DataFrame, year: int, keys: Sequence[str] = ()
+) -> DataFrame:
     """The period table of one year with labels such as ``Jan/2019``."""
     first, after = F.make_date(F.lit(year), F.lit(1), F.lit(1)), F.make_date(
         F.lit(year + 1), F.lit(1), F.lit(1))
     chosen = composite.where((F.col("PERIODO") >= first) & (F.col("PERIODO") < after))
-    return satisfaction_by_period(chosen).withColumn(
+    return satisfaction_by_period(chosen, (*keys, "PERIODO")).withColumn(
         "PERIODO", dates.period_label(F.col("PERIODO"))
     )
 
 
-def ambulatory_satisfaction(raw_ambulatory: DataFrame, min_year: int = 2019) -> DataFrame:
+def ambulatory_satisfaction(
+    raw_ambulatory: DataFrame, min_year: int | None = 2019, keys: Sequence[str] = ()
+) -> DataFrame:
     """Reception, doctor and joint score of each ambulatory form, with a sign for the NPS answer.
 
     The joint score is the mean of both if both count, else the one that counts, else 0; it is
@@ -134,6 +137,7 @@ def ambulatory_satisfaction(raw_ambulatory: DataFrame, min_year: int = 2019) ->
     year, month = _consolidation_period(raw_ambulatory)
     reception, doctor = likert_fifths("recepcao"), likert_fifths("medico")
     scored = raw_ambulatory.select(
+        *keys,
         year.alias("ANO"),
         F.when(dates.month_ordinal(month).isNotNull(), month).alias("MES"),
         F.col("id").try_cast("bigint").alias("ID"),
@@ -141,7 +145,9 @@ def ambulatory_satisfaction(raw_ambulatory: DataFrame, min_year: int = 2019) ->
         reception.alias("__r"),
         doctor.alias("__m"),
         nps.nps_sign(F.col("nps").try_cast("int"), null_score="neutral").alias("NPS"),
-    ).where(F.col("ANO") >= min_year)
+    )
+    if min_year is not None:
+        scored = scored.where(F.col("ANO") >= min_year)
     r, m = F.col("__r"), F.col("__m")
     both = (r > 0) & (m > 0)
     joint = (
@@ -154,24 +160,26 @@ def ambulatory_satisfaction(raw_ambulatory: DataFrame, min_year: int = 2019) ->
         .otherwise(0.0)
     )
     return scored.select(
-        "ANO", "MES", "ID", "ATENDENTE",
+        *keys, "ANO", "MES", "ID", "ATENDENTE",
         (r / 5.0).alias("RECEPCAO"), (m / 5.0).alias("MEDICO"), joint.alias("SATISFACAO"), "NPS",
     )
 
 
 def reception_frequency(
-    raw_ambulatory: DataFrame, min_year: int = 2019, question: str = "recepcao"
+    raw_ambulatory: DataFrame, min_year: int = 2019, question: str = "recepcao",
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Score of the reception answers per month: answers, good ones, total, frequency and loss."""
     year, month = _consolidation_period(raw_ambulatory)
     fifths = likert_fifths(question)
     answers = raw_ambulatory.select(
+        *keys,
         year.alias("ANO"),
         F.when(dates.month_ordinal(month).isNotNull(), month).alias("MES"),
         F.col(question).alias("NOTA"),
         fifths.alias("__fifths"),
     ).where((F.col("ANO") >= min_year) & F.col("NOTA").isNotNull() & (F.col("__fifths") > 0))
-    counts = answers.groupBy("ANO", "MES").agg(
+    counts = answers.groupBy(*keys, "ANO", "MES").agg(
         F.count("*").alias("N_RESPOSTAS"),
         count_when(F.col("NOTA").isin(*fv.GOOD_ANSWERS)).alias("BOM_OTIMO"),
         (F.sum("__fifths") / 5.0).alias("SCORE_TOTAL"),
@@ -185,42 +193,52 @@ def reception_frequency(
     )
 
 
-def reception_share(frequency: DataFrame) -> DataFrame:
+def reception_share(frequency: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Frequency and loss in long form as shares of their sum (two rows per period)."""
-    long = frequency.unpivot(["ANO", "MES", "PERIODO"], ["PERDA", "FREQ"], "variable", "value")
-    return share_of_total(long, "value", ["ANO", "MES", "PERIODO"], "share", scale=1.0)
+    period = [*keys, "ANO", "MES", "PERIODO"]
+    long = frequency.unpivot(period, ["PERDA", "FREQ"], "variable", "value")
+    return share_of_total(long, "value", period, "share", scale=1.0)
 
 
 def score_distribution_for_year(
-    raw_general: DataFrame, year: int, question: str = fv.SAFETY_QUESTION
+    raw_general: DataFrame, year: int, question: str = fv.SAFETY_QUESTION,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """How often each score was given to a question in a year; missing answers are one group."""
     chosen = raw_general.where(F.col("ano_consolidacao").try_cast("int") == year)
-    return chosen.groupBy(likert_score(question).alias("score")).agg(
+    return chosen.groupBy(*keys, likert_score(question).alias("score")).agg(
         F.count("*").alias("n")
     )
 
 
 def month_answer_crosstab(
-    raw_general: DataFrame, year: int, question: str = fv.SAFETY_QUESTION
+    raw_general: DataFrame, year: int, question: str = fv.SAFETY_QUESTION,
+    keys: Sequence[str] = (), others: str | None = None,
 ) -> DataFrame:
-    """Month by answer text counts of a year; missing answers and months are left out."""
+    """Month by answer text counts of a year; missing answers and months are left out.
+
+    The columns are the known answers; ``others`` names a column that counts all other texts.
+    """
     chosen = raw_general.where(
         (F.col("ano_consolidacao").try_cast("int") == year)
         & F.col("mes_consolidacao").isNotNull()
         & F.col(question).isNotNull()
     )
-    return dcast(chosen, ["mes_consolidacao"], question, fv.RECEPTION_ANSWERS)
+    columns = list(fv.RECEPTION_ANSWERS)
+    if others is not None:
+        known = F.col(question).isin(columns)
+        chosen = chosen.withColumn(question, F.when(known, F.col(question)).otherwise(F.lit(others)))
+        columns.append(others)
+    return dcast(chosen, [*keys, "mes_consolidacao"], question, columns)
 
 
-def answer_frequency(raw: DataFrame, question: str) -> DataFrame:
+def answer_frequency(raw: DataFrame, question: str, keys: Sequence[str] = ()) -> DataFrame:
     """How often each answer text was given; missing answers are left out."""
-    return raw.where(F.col(question).isNotNull()).groupBy(F.col(question).alias("resposta")).agg(
-        F.count("*").alias("n")
-    )
+    answers = raw.where(F.col(question).isNotNull())
+    return answers.groupBy(*keys, F.col(question).alias("resposta")).agg(F.count("*").alias("n"))
 
 
-def distinct_answers(raw: DataFrame, question: str) -> DataFrame:
+def distinct_answers(raw: DataFrame, question: str, keys: Sequence[str] = ()) -> DataFrame:
     """Distinct answer texts of a question with their scores."""
-    answers = raw.select(F.col(question).alias("resposta")).distinct()
+    answers = raw.select(*keys, F.col(question).alias("resposta")).distinct()
     return answers.withColumn("score", likert_score("resposta"))

@@ -8,9 +8,10 @@ from formpulse import fixed_values as fv
 from formpulse.operators import attendants, comments, ratings, satisfaction
 from formpulse.operators.keys import CONSOLIDATION
 from formpulse.operators.periods import filter_period, validate_period_args
+from formpulse.session import tune
+from formpulse.sources.audit import write_audit
 from formpulse.sources.bundle import load_survey_bundle
 from formpulse.sources.sinks import (
-    read_clean_parquet,
     write_clean_parquet,
     write_period_stats,
     write_report_csv,
@@ -43,26 +44,35 @@ def run_monthly(
     *,
     period: tuple[int, str] | None = None,
     min_year: int | None = fv.GENERAL_MIN_YEAR,
+    keep_undated: bool = False,
 ) -> dict[str, str]:
     """Import both exports, keep them as clean parquet, and write every report under ``out``.
 
-    The text is parsed once; each report then scans only its columns, and with ``period`` only the
-    folder of that period. Returns the path of each table.
+    The text is parsed once; each report then scans only its columns. With ``period`` only that
+    period is cleaned, reported and replaced; all others stay as earlier runs left them. Malformed
+    records are kept in ``rejects``, and every run adds to ``log``. Returns the path of each table.
     """
-    bundle = load_survey_bundle(spark, general_path, ambulatory_path, min_year=min_year)
+    tune(spark)
+    bundle = load_survey_bundle(
+        spark, general_path, ambulatory_path, min_year=min_year, keep_undated=keep_undated)
+    wanted = None if period is None else validate_period_args(*period)
+    mode = "overwrite" if wanted is None else "periods"
     forms = {}
     for name in ("p1", "p2"):
         path = f"{out}/clean/{name}"
-        write_clean_parquet(bundle[name], path, keys=CONSOLIDATION, mode="overwrite")
-        forms[name] = read_clean_parquet(spark, path)
-        if period is not None:
-            forms[name] = filter_period(forms[name], *validate_period_args(*period))
-    paths = {}
+        rows = bundle[name] if wanted is None else filter_period(bundle[name], *wanted)
+        write_clean_parquet(rows, path, keys=CONSOLIDATION, mode=mode)
+        forms[name] = spark.read.schema(rows.schema).parquet(path)
+        if wanted is not None:
+            forms[name] = filter_period(forms[name], *wanted)
+    paths = {"rejects": f"{out}/rejects", "log": f"{out}/log"}
+    bundle["rejects"].write.mode("overwrite").json(paths["rejects"])
+    write_audit(bundle["log"], paths["log"])
     for name, table in monthly_tables(forms["p1"], forms["p2"]).items():
         paths[name] = f"{out}/{name}"
         if name in CSV_REPORTS:
             keys = (*CONSOLIDATION, "kind") if name == "comentarios" else CONSOLIDATION
-            write_report_csv(table, paths[name], keys=keys)
+            write_report_csv(table, paths[name], keys=keys, mode=mode)
         else:
-            write_period_stats(table, paths[name])
+            write_period_stats(table, paths[name], keys=CONSOLIDATION, mode=mode)
     return paths

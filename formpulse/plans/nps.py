@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from formpulse.operators import nps
-from formpulse.operators.calendar import join_calendar
+from formpulse.operators.calendar import calendar_of, join_calendar
 
 
 def nps_tables(
-    general: DataFrame, ambulatory: DataFrame, calendar: DataFrame, quarter: str | None = None
+    general: DataFrame, ambulatory: DataFrame, calendar: DataFrame | None = None,
+    quarter: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Row-level and consolidated NPS frames, and the composition of one quarter or of all."""
+    """Row-level and consolidated NPS frames, and the composition of one quarter or of all.
+
+    Without a calendar the one that covers the forms is made.
+    """
     rows = nps.nps_rows(general, ambulatory)
+    calendar = calendar_of(general, ambulatory) if calendar is None else calendar
     return {
         "df": join_calendar(rows, calendar),
         "consolidado": nps.nps_by_period_origin(rows, calendar),

@@ -13,21 +13,31 @@ STATUS_ERROR = "error"
 
 
 def ingest_audit(
-    raw: DataFrame, source: str, *, malformed_column: str | None = None
+    raw: DataFrame, source: str, *, malformed_column: str | None = None,
+    min_year: int | None = None,
 ) -> DataFrame:
     """One row: source, status, rows, rows with a bad date, a bad score or a bad column count.
 
+    With ``min_year`` also ``n_undated`` and ``n_before_min_year``: the well-formed rows that a
+    year limit leaves out because they have no readable date, or an earlier one.
+
     A value counts as bad when text is present but cannot be read. The status is ``error`` only
     where nothing usable arrived: no rows, or none with a readable date.
     """
     bad_date = F.col("data").isNotNull() & dates.parse_survey_timestamp(F.col("data")).isNull()
     bad_score = F.col("nps").isNotNull() & F.col("nps").try_cast("int").isNull()
     malformed = F.col(malformed_column).isNotNull() if malformed_column else F.lit(False)
+    ts = dates.parse_survey_timestamp(F.col("data"))
+    left_out = {} if min_year is None else {
+        "n_undated": count_when(~malformed & ts.isNull()),
+        "n_before_min_year": count_when(~malformed & (F.year(ts) < min_year)),
+    }
     counts = raw.agg(
         F.count("*").alias("n_rows"),
         count_when(bad_date).alias("n_bad_date"),
         count_when(bad_score).alias("n_bad_score"),
         count_when(malformed).alias("n_malformed"),
+        *(c.alias(name) for name, c in left_out.items()),
     )
     status = F.when(F.col("n_rows") > F.col("n_bad_date"), STATUS_OK).otherwise(STATUS_ERROR)
     return counts.select(
@@ -37,10 +47,11 @@ def ingest_audit(
         "n_bad_date",
         "n_bad_score",
         "n_malformed",
+        *left_out,
         F.current_timestamp().alias("ts"),
     )
 
 
-def write_audit(audit: DataFrame, path: str) -> None:
+def write_audit(audit: DataFrame, path: str, *, mode: str = "append") -> None:
     """Append the run log as JSON lines."""
-    audit.write.mode("append").json(path)
+    audit.write.mode(mode).json(path)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formpulse import fixed_values as fv
-from formpulse.sources.csv import read_survey_csv
+from formpulse.sources.audit import ingest_audit
+from formpulse.sources.csv import MALFORMED, read_survey_csv, split_malformed
 from formpulse.sources.normalize import normalize_ambulatory, normalize_general
 
 BLOCK_MEAN_COLUMNS = (*(f"m_{b}" for b in fv.BLOCK_SIZES), "m_x")
@@ -31,9 +32,10 @@ def survey_bundle(
     raw_ambulatory: DataFrame,
     *,
     min_year: int | None = fv.GENERAL_MIN_YEAR,
+    keep_undated: bool = False,
 ) -> dict[str, DataFrame]:
     """``p1``, ``p1_medias``, ``p2`` and ``p2_medias`` from the two raw frames."""
-    general = normalize_general(raw_general, min_year=min_year)
+    general = normalize_general(raw_general, min_year=min_year, keep_undated=keep_undated)
     ambulatory = normalize_ambulatory(raw_ambulatory)
     return {
         "p1": general,
@@ -52,10 +54,35 @@ def load_survey_bundle(
     ambulatory_layout: str = "ambulatory13",
     null_tokens: str = "na_only",
     min_year: int | None = fv.GENERAL_MIN_YEAR,
+    keep_undated: bool = False,
 ) -> dict[str, DataFrame]:
-    """Read and normalise both forms; nothing runs until a frame is used."""
-    return survey_bundle(
-        read_survey_csv(spark, general_path, general_layout, null_tokens=null_tokens),
-        read_survey_csv(spark, ambulatory_path, ambulatory_layout, null_tokens=null_tokens),
-        min_year=min_year,
-    )
+    """Read and normalise both forms; nothing runs until a frame is used.
+
+    Records with another number of columns are in ``rejects`` (form, first column, record), and
+    ``log`` counts both forms' rows, rejects and what the year limit leaves out.
+    """
+    raws = {
+        "general": (general_path, general_layout),
+        "ambulatory": (ambulatory_path, ambulatory_layout),
+    }
+    good, rejects, log = {}, None, None
+    for form, (path, layout) in raws.items():
+        raw = read_survey_csv(
+            spark, path, layout, null_tokens=null_tokens, malformed_column=MALFORMED)
+        good[form], bad = split_malformed(raw)
+        bad = bad.select(F.lit(form).alias("formulario"), "*")
+        counted = ingest_audit(
+            raw, form, malformed_column=MALFORMED,
+            min_year=min_year if form == "general" and min_year is not None else 0)
+        rejects = bad if rejects is None else rejects.unionByName(bad)
+        log = counted if log is None else log.unionByName(counted)
+    frames = survey_bundle(
+        good["general"], good["ambulatory"], min_year=min_year, keep_undated=keep_undated)
+    return {**frames, "rejects": rejects, "log": log}
+
+
+def form_row_counts(general: DataFrame, ambulatory: DataFrame) -> DataFrame:
+    """Rows of each form."""
+    forms = general.select(F.lit("p1").alias("form")).union(
+        ambulatory.select(F.lit("p2").alias("form")))
+    return forms.groupBy("form").agg(F.count("*").alias("n"))

@@ -40,14 +40,14 @@ def read_survey_csv(
     null_tokens: str = "blank",
     multi_line: bool = True,
     malformed_column: str | None = None,
-    mode: str = "PERMISSIVE",
+    mode: str | None = None,
 ) -> DataFrame:
     """Read form exports (header, comma, UTF-8, quotes doubled) as an all-text frame.
 
     ``layout`` names a positional layout of ``fixed_values.LAYOUTS``; header words are ignored.
     ``null_tokens`` chooses which words mean missing: ``blank``, ``na_only`` (blank stays ``''``)
-    or ``wide``. A record with another number of columns is kept whole in ``malformed_column``
-    when given, or stops the job with ``mode='FAILFAST'``. Comments may hold line breaks, so
+    or ``wide``. A record with another number of columns stops the job, or is kept whole in
+    ``malformed_column`` if given (see :func:`split_malformed`). Comments may hold line breaks, so
     ``multi_line`` is on and a file is read by one task: land exports as many files. Exports
     without line breaks can switch it off and be split.
     """
@@ -57,7 +57,7 @@ def read_survey_csv(
         .option("encoding", "UTF-8")
         .option("multiLine", multi_line)
         .option("escape", '"')
-        .option("mode", mode)
+        .option("mode", mode or ("PERMISSIVE" if malformed_column else "FAILFAST"))
         .option("emptyValue", "")
     )
     if malformed_column:
@@ -65,6 +65,16 @@ def read_survey_csv(
     return apply_null_tokens(reader.csv(path), null_tokens, malformed_column)
 
 
+def split_malformed(df: DataFrame, malformed_column: str = MALFORMED) -> tuple[DataFrame, DataFrame]:
+    """The well-formed records, and the others: first column and whole record."""
+    # Spark refuses to scan the malformed column alone, so the test names the first one too.
+    scanned = F.coalesce(F.col(df.columns[0]), F.lit("")) != F.lit("\x00")
+    bad = F.col(malformed_column).isNotNull() & scanned
+    rejects = df.where(bad).select(
+        F.col(df.columns[0]).alias("primeiro"), F.col(malformed_column).alias("registro"))
+    return df.where(~bad).drop(malformed_column), rejects
+
+
 def rename_positional(df: DataFrame, layout: str) -> DataFrame:
     """Give the columns of a frame their canonical names by position."""
     names = fv.LAYOUTS[layout]
@@ -75,6 +85,12 @@ def rename_positional(df: DataFrame, layout: str) -> DataFrame:
     return df.toDF(*names)
 
 
+def header_layout(spark: SparkSession, path: str | list[str], prefix: str) -> str:
+    """Layout of a form family by the width of the header line of an export."""
+    first = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return layout_by_arity(prefix, len(first.columns))
+
+
 def layout_by_arity(prefix: str, n_columns: int) -> str:
     """Layout of a form family (``general``, ``ambulatory``, ...) with this many columns."""
     for layout, names in fv.LAYOUTS.items():

@@ -23,11 +23,14 @@ def _nps_column(df: DataFrame):
     return score.try_cast("int").alias("nps")
 
 
-def normalize_general(df: DataFrame, *, min_year: int | None = fv.GENERAL_MIN_YEAR) -> DataFrame:
+def normalize_general(
+    df: DataFrame, *, min_year: int | None = fv.GENERAL_MIN_YEAR, keep_undated: bool = False
+) -> DataFrame:
     """Typed general forms with ordinal answers, block means ``m_a``..``m_h`` and ``m_x``.
 
-    ``ano`` and ``mes`` come from the form's date; forms dated before ``min_year`` (or undated)
-    are left out unless it is ``None``. The old layout's missing columns come out as null.
+    ``ano`` and ``mes`` come from the form's date; forms dated before ``min_year`` are left out
+    unless it is ``None``, and so are undated ones unless they are kept (their consolidation year
+    and month may be known). The old layout's missing columns come out as null.
     """
     ts = dates.parse_survey_timestamp(F.col("data"))
     optional = ("pesquisa_ativa", "equipe_pesquisa", "quando_queixa", "periodo_queixa")
@@ -51,7 +54,10 @@ def normalize_general(df: DataFrame, *, min_year: int | None = fv.GENERAL_MIN_YE
         F.month(ts).alias("mes"),
     )
     out = typed.withColumns(ratings.block_means()).withColumn("m_x", ratings.mean_of_means())
-    return out if min_year is None else out.where(F.col("ano") >= min_year)
+    if min_year is None:
+        return out
+    wanted = F.col("ano") >= min_year
+    return out.where(wanted | F.col("ano").isNull() if keep_undated else wanted)
 
 
 def normalize_ambulatory(df: DataFrame) -> DataFrame:

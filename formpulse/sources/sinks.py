@@ -36,22 +36,47 @@ def write_raw_snapshot(
     )
 
 
+def _writer(df: DataFrame, keys: Sequence[str], mode: str):
+    """A partitioned writer. ``mode="periods"`` overwrites the periods that ``df`` holds and leaves
+    the others as they are."""
+    writer = df.hint("rebalance", *keys).write.partitionBy(*keys)
+    if mode == "periods":
+        return writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    return writer.mode(mode)
+
+
 def write_clean_parquet(
     df: DataFrame, path: str, *, keys: Sequence[str] = PERIOD_KEYS, mode: str = "append"
 ) -> None:
-    """Write clean rows as parquet in one folder per period, so that reports prune by period."""
-    df.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).parquet(path)
+    """Write clean rows as parquet in one folder per period, so that reports prune by period.
+
+    The default appends, so a call that is repeated by hand doubles its rows; ``mode="periods"``
+    replaces the periods at hand and ``overwrite`` the whole table.
+    """
+    _writer(df, keys, mode).parquet(path)
 
 
-def read_clean_parquet(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> DataFrame:
-    """Read clean rows back, in the given column order if any."""
-    df = spark.read.parquet(path)
+def read_clean_parquet(
+    spark: SparkSession, path: str, columns: Sequence[str] = (), *, schema=None
+) -> DataFrame:
+    """Read clean rows back, in the given column order if any; with a schema also an empty table."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    df = reader.parquet(path)
     return df.select(*columns) if columns else df
 
 
-def write_period_stats(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
-    """Write a statistics table (one row per period and group, so few files)."""
-    df.write.mode(mode).parquet(path)
+def write_period_stats(
+    df: DataFrame, path: str, *, keys: Sequence[str] = (), mode: str = "periods"
+) -> None:
+    """Write a statistics table (one row per period and group, so few files).
+
+    With ``keys`` each period has a folder, and a run of one period leaves the others as they are.
+    Without, the table is replaced.
+    """
+    if keys:
+        _writer(df, keys, mode).parquet(path)
+    else:
+        df.write.mode("overwrite" if mode == "periods" else mode).parquet(path)
 
 
 def decimal_comma(df: DataFrame) -> DataFrame:
@@ -69,20 +94,14 @@ def decimal_comma(df: DataFrame) -> DataFrame:
 
 
 def write_report_csv(
-    df: DataFrame, path: str, *, keys: Sequence[str] = PERIOD_KEYS, mode: str = "overwrite"
+    df: DataFrame, path: str, *, keys: Sequence[str] = PERIOD_KEYS, mode: str = "periods"
 ) -> None:
     """Report files with ``;`` between columns and a decimal comma, one folder per period.
 
-    A period without rows gets no folder.
+    A period without rows gets no folder. By default the periods at hand are replaced and the
+    others stay.
     """
-    (
-        decimal_comma(df)
-        .hint("rebalance", *keys)
-        .write.mode(mode)
-        .partitionBy(*keys)
-        .options(**CSV_OPTIONS, sep=";")
-        .csv(path)
-    )
+    _writer(decimal_comma(df), keys, mode).options(**CSV_OPTIONS, sep=";").csv(path)
 
 
 def write_comment_workbooks(
@@ -91,7 +110,7 @@ def write_comment_workbooks(
     *,
     keys: Sequence[str] = PERIOD_KEYS,
     kind_column: str = "kind",
-    mode: str = "overwrite",
+    mode: str = "periods",
 ) -> None:
     """Comments of each period and kind in their own folder of report files."""
     write_report_csv(comments, path, keys=(*keys, kind_column), mode=mode)

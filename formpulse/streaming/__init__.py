@@ -3,7 +3,6 @@
 from formpulse.streaming.ingest import stream_ingest  # noqa: F401
 from formpulse.streaming.stats import (  # noqa: F401
     compact_period_stats,
-    dropped_rows,
     read_period_stats,
     stream_period_stats,
 )

@@ -7,26 +7,31 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from formpulse.sources.csv import apply_null_tokens, layout_schema
+from formpulse.sources.audit import ingest_audit, write_audit
+from formpulse.sources.csv import MALFORMED, apply_null_tokens, layout_schema, split_malformed
 from formpulse.sources.normalize import clean_manifestations
 from formpulse.sources.sinks import PERIOD_KEYS
 
 
 def read_survey_stream(
     spark: SparkSession, drop_folder: str, layout: str, *, null_tokens: str = "wide",
-    max_files: int = 1000,
+    multi_line: bool = True, max_files: int = 1000,
 ) -> DataFrame:
-    """Form exports of a folder as an all-text stream; at most ``max_files`` per micro-batch."""
+    """Form exports of a folder as an all-text stream; at most ``max_files`` per micro-batch.
+
+    Records with another number of columns are kept whole in the column ``MALFORMED``.
+    """
     stream = (
-        spark.readStream.schema(layout_schema(layout))
+        spark.readStream.schema(layout_schema(layout, MALFORMED))
+        .option("columnNameOfCorruptRecord", MALFORMED)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("emptyValue", "")
         .option("maxFilesPerTrigger", max_files)
         .csv(drop_folder)
     )
-    return apply_null_tokens(stream, null_tokens)
+    return apply_null_tokens(stream, null_tokens, MALFORMED)
 
 
 def stream_ingest(
@@ -40,19 +45,28 @@ def stream_ingest(
     keys: Sequence[str] = PERIOD_KEYS,
     **read_options,
 ) -> StreamingQuery:
-    """Clean the exports that arrived since the last run, append them to the table, and stop.
+    """Clean the exports that arrived since the last run, add them to the table, and stop.
 
-    The checkpoint remembers which files were taken, and the file sink commits each batch once, so
-    a run that loses executors or is restarted neither skips nor repeats a file. This replaces a
+    The checkpoint remembers which files were taken. A batch writes into a folder of its own, which
+    a repetition overwrites, so a run that loses executors or is restarted neither skips nor repeats
+    a file. Each period of a batch gets few files, and a hot one is split. Malformed records go to
+    ``<table_path>-rejects``, and every batch adds a line to ``<table_path>-log``. This replaces a
     cache that expires by age: run it as often as fresh data is wanted.
     """
-    rows = clean(read_survey_stream(spark, drop_folder, layout, **read_options))
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        good, rejects = split_malformed(batch)
+        folder = f"batch_id={batch_id}"
+        rows = clean(good).hint("rebalance", *keys)
+        rows.write.mode("overwrite").partitionBy(*keys).parquet(f"{table_path}/{folder}")
+        rejects.write.mode("overwrite").json(f"{table_path}-rejects/{folder}")
+        audit = ingest_audit(batch, drop_folder, malformed_column=MALFORMED)
+        write_audit(audit, f"{table_path}-log/{folder}", mode="overwrite")
+
+    stream = read_survey_stream(spark, drop_folder, layout, **read_options)
     return (
-        rows.writeStream.format("parquet")
-        .partitionBy(*keys)
-        .option("path", table_path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
+        stream.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(take)
         .trigger(availableNow=True)
         .start()
     )

@@ -243,7 +243,7 @@ def test_missing_group_keys_keep_their_totals(spark):
 
 
 def test_histogram_edges(spark):
-    df = spark.createDataFrame([(v,) for v in (0.0, 1.0, 1.1, 2.0, 4.0, None)], "x double")
+    df = spark.createDataFrame([(v,) for v in (0.0, 1.0, 1.1, 2.0, 4.0, None, float("nan"))], "x double")
     got = {r["bin"]: (r["lower"], r["upper"], r["n"])
            for r in reshape.equal_width_histogram(df, "x", 4).collect()}
     assert got == {1: (0.0, 1.0, 2), 2: (1.0, 2.0, 2), 4: (3.0, 4.0, 1)}
@@ -254,7 +254,9 @@ def test_histogram_edges(spark):
 @pytest.mark.parametrize(("year", "month"), [(2016, "Maio"), (2026, "Maio"), (2019, "Marco")])
 def test_period_arguments(year, month):
     with pytest.raises(ValueError, match="must be"):
-        periods.validate_period_args(year, month)
+        periods.validate_period_args(year, month, (2017, 2025))
+    if month in fv.MONTHS:
+        assert periods.validate_period_args(year, month) == (year, month)
 
 
 def test_reports_take_a_site_key(spark):

@@ -24,7 +24,6 @@ from formpulse.sources import (
 from formpulse.sources.csv import layout_by_arity
 from formpulse.streaming import (
     compact_period_stats,
-    dropped_rows,
     read_period_stats,
     stream_ingest,
     stream_period_stats,
@@ -108,35 +107,69 @@ def events(spark, *days):
         "data timestamp_ntz, tipo string, setor string")
 
 
-def stats_run(spark, root, lateness="60 days"):
+def stats_run(spark, root):
     stream = (spark.readStream.schema("data timestamp_ntz, tipo string, setor string")
               .option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
-    query = stream_period_stats(stream, f"{root}/stats", f"{root}/progress", lateness=lateness)
-    query.awaitTermination()
-    return query
+    stream_period_stats(stream, f"{root}/stats", f"{root}/progress").awaitTermination()
 
 
-def test_stream_statistics_match_batch(spark, tmp_path):
+def test_stream_statistics_count_every_row_whatever_the_batches(spark, tmp_path):
     root = str(tmp_path)
-    for days in ((5, 5, 20), (1, 5), (40, 20, 1)):
+    for days in ((5, 5, 20), (400, 1, 5), (40, 20, 1)):
         events(spark, *days).coalesce(1).write.mode("append").parquet(f"{root}/in")
-        query = stats_run(spark, root)
-        assert dropped_rows(query) == 0
-    got = {r["dia"].toordinal() - dt.date(2024, 1, 1).toordinal(): r["n"]
-           for r in read_period_stats(spark, f"{root}/stats").collect()}
-    assert got == {1: 2, 5: 3, 20: 2, 40: 1}
-    compact_period_stats(spark, f"{root}/stats", f"{root}/compact")
-    assert read_period_stats(spark, f"{root}/compact").count() == 4
+        stats_run(spark, root)
+        compact_period_stats(spark, f"{root}/stats")
+    spark.createDataFrame([(None, "elogio", "UTI")], "data timestamp_ntz, tipo string, setor string").write.mode(
+        "append").parquet(f"{root}/in")
+    stats_run(spark, root)
+    want = {1: 2, 5: 3, 20: 2, 40: 1, 400: 1, None: 1}
+    for _ in range(2):
+        got = {r["dia"] and r["dia"].toordinal() - dt.date(2024, 1, 1).toordinal(): r["n"]
+               for r in read_period_stats(spark, f"{root}/stats").collect()}
+        assert got == want
+        compact_period_stats(spark, f"{root}/stats")
+
+
+def test_malformed_records_of_a_stream_are_kept_apart(spark, tmp_path):
+    line = "01/05/2024 10:00:00,UTI,9,x,a,,,ana,0,a@b"
+    write_lines(tmp_path / "drop", line, "xx,UTI", line + ",1,2")
+    refresh_dashboard(spark, str(tmp_path / "drop"), str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out" / "clean"))
+    rejects = spark.read.json(str(tmp_path / "out" / "clean-rejects"))
+    assert rows.count() == 1 and {r["registro"] for r in rejects.collect()} == {"xx,UTI", line + ",1,2"}
+    log = spark.read.json(str(tmp_path / "out" / "clean-log")).collect()
+    assert [(r["n_rows"], r["n_malformed"]) for r in log] == [(3, 2)]
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
+        read_survey_csv(spark, str(tmp_path / "drop"), "manifestation10").collect()
 
 
-def test_stream_drops_and_counts_late_rows(spark, tmp_path):
-    root = str(tmp_path)
-    dropped = 0
-    for days in ((50,), (51,), (1, 52)):
-        events(spark, *days).coalesce(1).write.mode("append").parquet(f"{root}/in")
-        dropped += dropped_rows(stats_run(spark, root, "7 days"))
-    assert dropped == 1
-    assert read_period_stats(spark, f"{root}/stats").count() == 3
+def test_first_run_without_exports_gives_empty_tables(spark, tmp_path):
+    (tmp_path / "drop").mkdir()
+    tables = refresh_dashboard(spark, str(tmp_path / "drop"), str(tmp_path / "out"))
+    assert all(t.count() == 0 for t in tables.values())
+
+
+def test_null_score_is_one_policy(spark, tmp_path):
+    write_lines(tmp_path / "drop", "01/05/2024 10:00:00,UTI,,x,a,,,ana,0,a@b")
+    for policy, column in (("detractor", "detratores"), ("neutral", "neutros")):
+        tables = refresh_dashboard(spark, str(tmp_path / "drop"), str(tmp_path / policy), null_score=policy)
+        assert tables["nps"].first()[column] == 1
+
+
+def test_a_run_of_one_period_leaves_the_others(spark, tmp_path):
+    general = raw_forms(spark, "general46", a_1="Bom", setor="UTI", elogios="bem")
+    amb = raw_forms(spark, "ambulatory13", recepcao="Ótimo", medico="Bom", atendente="ATT_1")
+    for name, df in (("g", general), ("a", amb)):
+        df.write.options(**sinks.CSV_OPTIONS).csv(str(tmp_path / name))
+    args = spark, str(tmp_path / "g"), str(tmp_path / "a"), str(tmp_path / "out")
+    run_monthly(*args)
+    june = sorted(p for p in (tmp_path / "out").rglob("*") if "mes_consolidacao=Junho" in str(p) and p.is_file())
+    paths = run_monthly(*args, period=(2019, "Maio"))
+    assert june and all(p.exists() for p in june)
+    assert spark.read.parquet(paths["medidas"]).count() == 20
+    assert spark.read.json(paths["log"]).count() == 4
+    run_monthly(*args, period=(2026, "Maio"))
+    assert spark.read.parquet(paths["medidas"]).count() == 20
 
 
 def test_ingest_takes_each_file_once(spark, tmp_path):
