@@ -2,25 +2,61 @@
 
 from __future__ import annotations
 
+import json
 import re
+import sys
+from array import array
 from functools import lru_cache
 
+import tiktoken
 from tokenizers import Tokenizer
 
 #: A blank next to other white space: there the tokenizer's pre-tokens cross the cut at blanks.
 _RUN = re.compile(r" \s")
+#: How texts are split before the merges of a byte-level BPE.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Up to this character all Unicode versions agree on what is a letter; other words are left to the
+#: tokenizer itself.
+_LATIN = "ɏ"
+
+
+def _ranks(file: str) -> dict[bytes, int]:
+    """The file's vocabulary by bytes. Printable bytes stand for themselves in it, the others for the
+    characters from U+0100 on, in order."""
+    with open(file, encoding="utf-8") as f:
+        model = json.load(f)
+    special = {token["content"] for token in model.get("added_tokens", [])}
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte = {chr(b): b for b in plain}
+    byte |= {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    return {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class _Words(dict):
     """Ids, as little-endian unsigned 32-bit bytes, of texts met before."""
 
-    def __init__(self, tokenizer: Tokenizer, most: int):
+    def __init__(self, file: str, most: int):
         super().__init__()
-        self.tokenizer, self.most = tokenizer, most
+        self.most = most
+        self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer.encode_special_tokens = True
+        # The same merges: of equal ids, five times as fast on single words.
+        self.merges = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=_ranks(file), special_tokens={})
+
+    def ids(self, text: str) -> list[int]:
+        if text.isascii() or max(text) <= _LATIN:
+            return self.merges.encode_ordinary(text)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        found = b"".join([i.to_bytes(4, "little") for i in ids])
+        found = _packed(self.ids(word))
         if len(self) >= self.most:
             self.clear()
         if len(word) <= 64:
@@ -29,25 +65,22 @@ class _Words(dict):
 
 
 class Encoder:
-    """Ids of a text under a byte-level BPE file.
+    """Ids of a text under a byte-level BPE file (such whose ids are in the order of their merges).
 
     Its pre-tokens begin at a blank or lie between blanks, so a text may be cut before each single
     blank and equal pieces are encoded once. Texts with a blank next to other white space are
     encoded in one go. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, file: str, most: int = 300_000):
-        self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
-        self.words = _Words(self.tokenizer, most)
+    def __init__(self, file: str, most: int = 400_000):
+        self.words = _Words(file, most)
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         words = self.words
         if _RUN.search(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return b"".join([i.to_bytes(4, "little") for i in ids])
+            return _packed(words.ids(text))
         first, *rest = text.split(" ")
         start = words[first] if first else b""
         return start + b"".join([words[" " + w] for w in rest])
