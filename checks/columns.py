@@ -375,7 +375,7 @@ def _(spark, d):
 
 
 @query("rename_display", S.with_("pivot", select=f"""
-SELECT setor, elogio AS "elogios", sugestao AS "sugestões", reclamacao AS "reclamações",
+SELECT periodo, setor, elogio AS "elogios", sugestao AS "sugestões", reclamacao AS "reclamações",
        preferiu_nao_informar AS "não informou", total,
        {S.percent("prop * 100", 2, True)} AS "% proporção"
 FROM (SELECT *, {S.half_even("CAST(total AS DOUBLE) / sum(total) OVER (PARTITION BY periodo)", 4)}

@@ -82,15 +82,16 @@ def drop_display_columns(df: DataFrame) -> DataFrame:
 
 
 def rename_display(stats: DataFrame) -> DataFrame:
-    """Period statistics under display headings, with the share as percent text."""
-    shown = stats.drop("periodo", "n_periodo").withColumn(
+    """Period statistics under display headings, with the share as percent text. The period stays, as
+    rows of several periods may be shown."""
+    shown = stats.drop("n_periodo").withColumn(
         "proporcao", percent_label(F.col("proporcao") * 100, 2, fixed=True)
     )
     return shown.withColumnsRenamed(fv.DISPLAY_HEADINGS)
 
 
 def sort_latest_first(df: DataFrame) -> DataFrame:
-    """Listing order, newest first; only for the point of display."""
+    """Listing order, newest first; for the point of display, after :func:`periods.filter_period_key`."""
     return df.orderBy(F.desc("data"))
 
 

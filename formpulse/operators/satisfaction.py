@@ -12,7 +12,6 @@ from formpulse.functions import dates, nps
 from formpulse.functions.numbers import (
     count_when,
     exact_mean,
-    exact_sum,
     half_even,
     percent_label,
     row_mean,
@@ -91,26 +90,28 @@ def composite_satisfaction(
 
 
 def satisfaction_by_period(
-    composite: DataFrame, keys: Sequence[str] = ("PERIODO",), *, strict_nulls: bool = False,
-    approximate_median: bool = False,
+    composite: DataFrame, keys: Sequence[str] = ("PERIODO",), *, strict_nulls: bool = False
 ) -> DataFrame:
     """Forms, sum, mean and median of the composite per period.
 
-    Missing composites are ignored, or with ``strict_nulls`` make the whole period missing. The
-    exact median keeps a count per distinct value; composites take a few hundred values at most,
-    so it merges map-side and stays small. ``approximate_median`` is for other wide columns.
+    Missing composites are ignored, or with ``strict_nulls`` make the whole period missing. Forms
+    are first counted per value, by a plain hash aggregate: composites take a few hundred values at
+    most, so the statistics of a period, its exact median among them, come from few rows.
     """
-    value = F.col("SATISFACAO")
+    counts = composite.groupBy(*keys, "SATISFACAO").agg(F.count("*").alias("__n"))
+    value, n = F.col("SATISFACAO"), F.col("__n")
+    answered = F.sum(F.when(value.isNotNull(), n))
+    units = F.sum(F.rint(value * F.lit(float(COMPOSITE_DENOMINATOR))).cast("long") * n)
     stats = {
-        "TOTAL_SATISFACAO": exact_sum(value, COMPOSITE_DENOMINATOR),
-        "MEDIA": exact_mean(value, COMPOSITE_DENOMINATOR),
-        "MEDIANA": F.percentile_approx(value, 0.5) if approximate_median else F.median(value),
+        "TOTAL_SATISFACAO": units / F.lit(float(COMPOSITE_DENOMINATOR)),
+        "MEDIA": units / (answered * F.lit(COMPOSITE_DENOMINATOR)),
+        "MEDIANA": F.percentile(value, F.lit(0.5), n),
     }
     if strict_nulls:
-        whole = F.count(value) == F.count("*")
+        whole = F.coalesce(answered, F.lit(0)) == F.sum(n)
         stats = {name: F.when(whole, stat) for name, stat in stats.items()}
-    return composite.groupBy(*keys).agg(
-        F.count("*").alias("QTDE"), *(stat.alias(name) for name, stat in stats.items())
+    return counts.groupBy(*keys).agg(
+        F.sum(n).alias("QTDE"), *(stat.alias(name) for name, stat in stats.items())
     )
 
 

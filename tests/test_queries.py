@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from checks.registry import ORACLE, QUERIES
+from formpulse import fixed_values as fv
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -39,6 +40,24 @@ def test_query_matches_sql(spark, duck, name):
     assert got == want
 
 
+@pytest.mark.parametrize(("name", "keys", "down"), [
+    ("sort_latest_first", ["data"], True), ("sort_period_sector", ["periodo", "setor"], False),
+    ("sort_by_rank", ["ano_consolidacao", "mes_consolidacao", "RANK"], False),
+])
+def test_order(spark, name, keys, down):
+    rows = [tuple(r[k] for k in keys) for r in QUERIES[name](spark, str(DATA)).collect()]
+    order = [tuple((v is not None, v if v is not None else 0) for v in r) for r in rows]
+    assert order == sorted(order, reverse=down) and len(rows) > 1
+
+
+def test_order_within_groups(spark):
+    rows = [(r["periodo"], -r["n"]) for r in QUERIES["sort_by_count"](spark, str(DATA)).collect()]
+    assert rows == sorted(rows)
+    months = [(r["ano_consolidacao"], fv.MONTHS.index(r["mes_consolidacao"]))
+              for r in QUERIES["domain_order"](spark, str(DATA)).collect() if r["mes_consolidacao"]]
+    assert months == sorted(months)
+
+
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLE)
     assert set(QUERIES) <= set(entry_points.queries())
@@ -57,7 +76,7 @@ def plan(spark, name):
 @pytest.mark.parametrize("name", [
     "period_sector_pivot", "nps_summary", "measure_summary", "rating_by_question",
     "rating_distribution", "mean_rating_histogram", "good_or_excellent_indicator",
-    "attendant_ratings", "satisfaction_by_period", "reception_frequency",
+    "attendant_ratings", "reception_frequency",
     "nps_by_month", "extract_comments_distinct", "daily_counts",
 ])
 def test_report_needs_one_shuffle(spark, name):
