@@ -90,7 +90,9 @@ def rank_average_ties(
     """Descending rank of a count within the keys; ties share the mean of their ranks.
 
     The window runs over the distinct counts of a group, not over its rows: counts that add up to
-    ``n`` forms take at most about ``sqrt(2 n)`` distinct values. Ranks are then joined back.
+    ``n`` forms take at most about ``sqrt(2 n)`` distinct values. Ranks are then joined back: the
+    rank side has a row per distinct count, and is broadcast while that is small. Where it is not,
+    the join is by sort, and adaptive execution splits the rows of a value that many share.
     """
     ties = df.groupBy(*keys, value).agg(F.count("*").alias("__ties"))
     above = (

@@ -32,12 +32,14 @@ def normalize_general(
     unless it is ``None``, and so are undated ones unless they are kept (their consolidation year
     and month may be known). The old layout's missing columns come out as null.
     """
-    ts = dates.parse_survey_timestamp(F.col("data"))
+    # Parsed in a step of its own, since the filter and several columns derive from it.
+    df = df.withColumn("data", dates.parse_survey_timestamp(F.col("data")))
+    ts = F.col("data")
     optional = ("pesquisa_ativa", "equipe_pesquisa", "quando_queixa", "periodo_queixa")
     typed = df.select(
         *_extra(df, "general46"),
         text.cast_id(F.col("id")).alias("id"),
-        ts.alias("data"),
+        ts,
         "nome",
         dates.parse_survey_date(F.col("data_internacao")).alias("data_internacao"),
         dates.parse_survey_date(F.col("data_alta")).alias("data_alta"),
@@ -62,11 +64,12 @@ def normalize_general(
 
 def normalize_ambulatory(df: DataFrame) -> DataFrame:
     """Typed ambulatory forms with the mean ``m`` of reception and doctor."""
-    ts = dates.parse_survey_timestamp(F.col("data"))
+    df = df.withColumn("data", dates.parse_survey_timestamp(F.col("data")))
+    ts = F.col("data")
     typed = df.select(
         *_extra(df, "ambulatory13"),
         text.cast_id(F.col("id")).alias("id"),
-        ts.alias("data"),
+        ts,
         "nome",
         "contato",
         *(ratings.likert_ordinal(q).alias(q) for q in fv.AMBULATORY_QUESTIONS),
