@@ -9,8 +9,9 @@
 4. Within a neighbourhood registers are rebuilt from the sets, pairs whose collision-corrected
    estimate is too low are left out, and the rest are confirmed on the full sets. Neighbourhoods
    are dealt to tasks in blocks of bounded size. First each block is confirmed in itself, together
-   with the neighbourhood's landmarks, which join blocks of one dense group. Then pairs of blocks
-   that still hold different components are confirmed against each other, so that no link is lost.
+   with the neighbourhood's landmarks, which join blocks of one dense group. Where there were several
+   blocks, the vertices of each band key on which different components still meet are confirmed
+   once more (in pairs of blocks, if they are many), so that no link is lost.
 5. Components of the confirmed links give the groups.
 
 A task returns a spanning forest of its links, never all pairs. With 192 registers in bands of six
@@ -236,6 +237,20 @@ def _block_pairs(places: DataFrame) -> DataFrame:
     return places.join(sides, ["hood", "block"]).select("task", "vertex")
 
 
+def _unsettled_keys(keyed: DataFrame, vertices: DataFrame, labels: DataFrame) -> DataFrame:
+    """k, vertex, label, w of the band keys on which different components still meet.
+
+    Of keys with the same vertices one stays.
+    """
+    members = keyed.join(vertices, "vertex").join(labels.withColumnRenamed("node", "vertex"), "vertex", "left").select(
+        "k", "vertex", "w", F.coalesce("label", "vertex").alias("label"))
+    met = members.groupBy("k").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("vertex")).alias("x"), F.sum(F.xxhash64("vertex") % (1 << 31)).alias("y")).where("low <> high")
+    once = met.groupBy("n", "x", "y").agg(F.min("k").alias("k")).select("k")
+    return members.join(once, "k")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, block: int = BLOCK,
                     landmarks: int = LANDMARKS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept (the id is that).
@@ -274,21 +289,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT
     repeated = worded.groupBy("doc_id").agg(F.min("words").alias("low"), F.max("words").alias("high")).where("low <> high")
     same_id = worded.join(repeated.select("doc_id"), "doc_id").join(vertices.select("words", "vertex"), "words").select(
         F.col("doc_id").alias("a"), F.col("vertex").alias("b"))
-    split = dealt.where("blocks > 1").select("hood", "vertex", "text", "w")
+    split = dealt.where("blocks > 1").select("vertex", "text", "w")
     if split.limit(1).count():
-        labels = components(links)
-        split = split.join(labels.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn(
-            "label", F.coalesce("label", "vertex"))
-        # Components larger than a block have blocks of their own; the others share blocks.
-        by_label = split.groupBy("hood", "label").agg(F.sum("w").alias("m"))
-        rest = by_label.where("m <= 1").groupBy("hood").agg(F.ceil(F.sum("m")).alias("r"))
+        mixed = split.select("vertex", "w").distinct()
+        shared = stored(_unsettled_keys(keyed, mixed, components(links)), "unsettled")
+        # Of a key: components larger than a block have blocks of their own; the others share blocks.
+        by_label = shared.groupBy("k", "label").agg(F.sum("w").alias("m"))
+        rest = by_label.where("m <= 1").groupBy("k").agg(F.ceil(F.sum("m")).alias("r"))
         own = F.xxhash64("label", F.pmod(F.xxhash64("vertex"), F.ceil("m")))
-        shared = F.pmod(F.xxhash64(F.lit("shared"), "label"), F.coalesce("r", F.lit(1)))
-        places = split.join(by_label, ["hood", "label"]).join(rest, "hood", "left").select(
-            "hood", "vertex", "label", "text", F.when(F.col("m") > 1, own).otherwise(shared).alias("block"))
-        places = stored(places, "places")
-        tasks = _block_pairs(places.select("hood", "block", "vertex", "label"))
-        paired = tasks.join(places.select("vertex", "text"), "vertex").select("task", "vertex", "text")
+        common = F.pmod(F.xxhash64(F.lit("shared"), "label"), F.coalesce("r", F.lit(1)))
+        places = shared.join(by_label, ["k", "label"]).join(rest, "k", "left").select(
+            F.col("k").alias("hood"), "vertex", "label", F.when(F.col("m") > 1, own).otherwise(common).alias("block"))
+        tasks = _block_pairs(stored(places, "places"))
+        paired = tasks.join(split.select("vertex", "text"), "vertex").select("task", "vertex", "text")
         links = links.union(stored(_confirmed(paired, percent), "links"))
     groups = components(links.union(same_id)).select(F.col("node").alias("vertex"), "label")
     grouped = vertices.select("words", "vertex").join(groups, "vertex", "left").select(
