@@ -31,7 +31,7 @@ FLOORS = (0.08, 0.04, 0.08, 0.12, 0.15)
 #: 0.75 quantile of chi-square 5, and P(chi-square 7 <= q) / 0.75 = 0.708.
 SHRUNK = 0.708
 #: Squared distance from which a text is rejected.
-CUT = 45.0
+CUT = 52.0
 STEPS = 4
 #: Rows that a model needs at least; sources with fewer are pooled.
 LEAST = 60
