@@ -237,13 +237,14 @@ def _block_pairs(places: DataFrame) -> DataFrame:
     return places.join(sides, ["hood", "block"]).select("task", "vertex")
 
 
-def _unsettled_keys(keyed: DataFrame, vertices: DataFrame, labels: DataFrame) -> DataFrame:
+def _unsettled_keys(vertices: DataFrame, mixed: DataFrame, labels: DataFrame) -> DataFrame:
     """k, vertex, label, w of the band keys on which different components still meet.
 
     Of keys with the same vertices one stays.
     """
-    members = keyed.join(vertices, "vertex").join(labels.withColumnRenamed("node", "vertex"), "vertex", "left").select(
-        "k", "vertex", "w", F.coalesce("label", "vertex").alias("label"))
+    labelled = mixed.join(labels.withColumnRenamed("node", "vertex"), "vertex", "left")
+    members = vertices.select("vertex", "keys").join(labelled, "vertex").select(
+        F.explode("keys").alias("k"), "vertex", "w", F.coalesce("label", "vertex").alias("label"))
     met = members.groupBy("k").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("vertex")).alias("x"), F.sum(F.xxhash64("vertex") % (1 << 31)).alias("y")).where("low <> high")
@@ -280,7 +281,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT
         # A landmark is a vertex picked by its hash; there are about ``landmarks`` in a neighbourhood.
         (F.pmod(F.xxhash64(F.lit("mark"), "vertex"), F.ceil(F.col("n") / landmarks)) == 0).alias("mark"))
     texts = docs.select(F.col(key).cast("bigint").alias("vertex"), "text").where("vertex IS NOT NULL")
-    dealt = stored(dealt.join(texts, "vertex"), "blocks")
+    # The side without texts grows with the input, so it is never broadcast: one plan for every size.
+    dealt = stored(dealt.hint("merge").join(texts, "vertex"), "blocks")
 
     seen = dealt.withColumn("block", F.explode(F.when(F.col("mark") & (F.col("blocks") > 1), F.sequence(
         F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
@@ -292,7 +294,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT
     split = dealt.where("blocks > 1").select("vertex", "text", "w")
     if split.limit(1).count():
         mixed = split.select("vertex", "w").distinct()
-        shared = stored(_unsettled_keys(keyed, mixed, components(links)), "unsettled")
+        shared = stored(_unsettled_keys(vertices, mixed, components(links)), "unsettled")
         # Of a key: components larger than a block have blocks of their own; the others share blocks.
         by_label = shared.groupBy("k", "label").agg(F.sum("w").alias("m"))
         rest = by_label.where("m <= 1").groupBy("k").agg(F.ceil(F.sum("m")).alias("r"))
