@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, stored, table
 
 # The rules (verdict, host and path).
 RULES = (
@@ -67,6 +67,8 @@ def templates(paths: DataFrame) -> DataFrame:
     keys = ["host"]
     out = paths
     for d in range(DEPTH):
+        # Each level reads the last one several times, so its few rows are written once.
+        out = stored(out, f"paths-{d}")
         taken = out.groupBy(*keys, f"s{d}").agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad")))
         # Nulls (shorter paths) are an end, not a branch, but they count in the node.
         node = taken.groupBy(*keys).agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
@@ -103,7 +105,7 @@ def judge(pages: DataFrame, labels: DataFrame, key: str = "page_id") -> DataFram
         F.count("*").alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     parts = F.split("masked", "/")
     paths = counted.select("*", *(F.get(parts, d).alias(f"s{d}") for d in range(DEPTH)), (F.size(parts) > DEPTH).alias("deeper"))
-    found = templates(paths)
+    found = stored(templates(paths), "templates")
     purity = (F.sum("bad") + PRIOR_BAD) / (F.sum("labelled") + PRIOR_BAD + PRIOR_GOOD)
     judged = found.groupBy("host", "template").agg(purity.alias("purity"))
     by_path = found.select("host", "masked", "template").join(judged, ["host", "template"])
