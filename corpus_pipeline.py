@@ -25,6 +25,9 @@ from formpulse.llm.quality import judge
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Documents are near-duplicates from this similarity of their word shingles; op7's query has its own.
+NEAR_PERCENT = 80
+
 
 def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of ``left`` with a partner in ``right``, whose columns are named __<column>."""
@@ -59,7 +62,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id."""
     prepared(spark)
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__doc_id")).distinct()
+    kept = near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("__doc_id")).distinct()
     return _same(docs, kept, ["doc_id"])
 
 

@@ -14,13 +14,17 @@
    once more (in pairs of blocks, if they are many), so that no link is lost.
 5. Components of the confirmed links give the groups.
 
-A task returns a spanning forest of its links, never all pairs. With 192 registers in bands of six
-a pair at a similarity of 0.85 is missed by all bands once in four million, and the estimate, with a
-standard error of 0.026, misses one in three million.
+A task returns a spanning forest of its links, never all pairs. The width of a band and the margin of
+the estimate follow from the wanted similarity. At 0.85 192 registers in bands of six miss a pair by
+all bands once in four million; the estimate, with a standard error of 0.026 and a margin of 0.13,
+misses 2.3 in a million (binomial tail). At 0.80 the bands have five registers and miss one pair in
+3.5 million (six would miss one in 17,000); the estimate, with a standard error of 0.029 and a margin
+of 0.15, misses one in two million.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +37,13 @@ from .common import spread, stored, table
 from .graphs import components
 
 SHINGLE = 5
+#: Registers of a signature, and of its widest bands.
 REGISTERS, BAND = 192, 6
+#: Pairs at the wanted similarity that all bands together may miss.
+MISSED = 3e-7
 MANTISSA = 24
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Five standard errors of the estimate at 0.85.
-MARGIN = 0.13
 #: Vertices of a block, the shingles it may hold, and landmarks that each block of a neighbourhood is seen with.
 BLOCK, BLOCK_SHINGLES, LANDMARKS = 1024, 2_000_000, 64
 
@@ -105,11 +110,21 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    """Keys of the bands that are not empty, as signed 64-bit."""
-    bands = regs.reshape(-1, BAND)
+def band_width(percent: int) -> int:
+    """Registers of the widest bands that miss no more than ``MISSED`` of the pairs at ``percent``."""
+    return next((b for b in range(BAND, 1, -1) if (1 - (percent / 100) ** b) ** (REGISTERS // b) <= MISSED), 1)
+
+
+def margin(percent: int) -> float:
+    """Five standard errors of the estimate at ``percent``, rounded up to hundredths."""
+    return math.ceil(500 * math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)) / 100
+
+
+def band_keys(regs: np.ndarray, width: int = BAND) -> np.ndarray:
+    """Keys of the bands that are not empty, as signed 64-bit. Registers over from whole bands are in none."""
+    bands = regs[: len(regs) // width * width].reshape(-1, width)
     x = np.arange(len(bands), dtype=np.uint64)
-    for k in range(BAND):
+    for k in range(width):
         x = _mix((x + bands[:, k]) * _STEP + np.uint64(k))
     return x[bands.any(axis=1)].view(np.int64)
 
@@ -124,8 +139,8 @@ def estimate(match: np.ndarray, held: np.ndarray) -> np.ndarray:
     return (match / np.maximum(held, 1) - chance) / (1 - chance)
 
 
-def _signatures(docs: DataFrame, key: str) -> DataFrame:
-    """doc_id, words (16-byte digest of the words), n_shingles, keys."""
+def _signatures(docs: DataFrame, key: str, width: int) -> DataFrame:
+    """doc_id, words (16-byte digest of the words), n_shingles, keys of bands of ``width`` registers."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -135,7 +150,7 @@ def _signatures(docs: DataFrame, key: str) -> DataFrame:
                 digests.append(xxhash.xxh3_128_digest(b" ".join(found)))
                 hashes = shingles(found)
                 sizes.append(len(hashes))
-                keys.append(band_keys(registers(hashes)) if len(hashes) else [])
+                keys.append(band_keys(registers(hashes), width) if len(hashes) else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
                  pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "words", "n_shingles", "keys"])
@@ -161,7 +176,7 @@ def _labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
             other = regs[near]
             held = ((other | regs[i]) != 0).sum(axis=1)
             match = ((other == regs[i]) & (other != 0)).sum(axis=1)
-            likely[i, near] = estimate(match, held) >= percent / 100 - MARGIN
+            likely[i, near] = estimate(match, held) >= percent / 100 - margin(percent)
     rows = np.flatnonzero(likely.any(axis=0) | likely.any(axis=1))
     if not len(rows):
         return label
@@ -261,7 +276,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT
     without an id is linked with nothing: its component is null and it is kept. An empty frame gives
     an empty frame. Other columns are not read.
     """
-    signed = stored(_signatures(docs, key), "signatures")
+    signed = stored(_signatures(docs, key, band_width(percent)), "signatures")
     worded = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     vertices = stored(worded.groupBy("words").agg(F.min("doc_id").alias("vertex"), F.first("keys").alias("keys"), F.greatest(
         F.lit(1 / block), F.first("n_shingles") / BLOCK_SHINGLES).alias("w")), "vertices")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from conftest import edited, frame, prose
 
+from corpus_pipeline import near_duplicate_groups
 from formpulse.llm import neardup
 from formpulse.llm.graphs import components
 from formpulse.llm.neardup import near_duplicates, registers, shingles, words
@@ -97,3 +98,30 @@ def test_components(spark):
 
 def test_shingles_of_short_texts():
     assert [len(shingles(words(t))) for t in (None, "", "a", "a b c d", "a b c d e", "a b c d e f", "a a a a a a a")] == [0, 0, 1, 1, 1, 2, 1]
+
+
+def similar_pair(at, low, high):
+    """A text, and a copy with edits whose similarity lies between the bounds."""
+    base = prose(at, 260)
+    for trial in range(400):
+        copy = edited(base, 1000 * at + trial, 2 + trial % 20)
+        x, y = shingle_set(base), shingle_set(copy)
+        if low <= len(x & y) / len(x | y) < high:
+            return base, copy
+    raise AssertionError("no such pair")
+
+
+def test_stage_links_pairs_between_80_and_85(spark):
+    """The stage of the pipeline keeps one of each pair at 0.81 to 0.84; op7 keeps both."""
+    pairs = [similar_pair(2000 + i, 0.81, 0.84) for i in range(25)] + [similar_pair(3000, 0.72, 0.79)]
+    df = frame(spark, [(2 * i + k, text, "en", "a") for i, pair in enumerate(pairs) for k, text in enumerate(pair)])
+    kept = {r.doc_id for r in near_duplicate_groups(spark, df, "").collect()}
+    assert kept == {*range(0, 52, 2), 51}
+    assert {r.doc_id for r in near_duplicates(df).where("kept").collect()} == set(range(52))
+
+
+def test_bands_and_margin_follow_the_similarity():
+    assert [(neardup.band_width(p), neardup.margin(p)) for p in (85, 80)] == [(6, 0.13), (5, 0.15)]
+    for p in (95, 85, 80, 70):
+        width = neardup.band_width(p)
+        assert (1 - (p / 100) ** width) ** (neardup.REGISTERS // width) <= neardup.MISSED
