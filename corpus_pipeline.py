@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formpulse.llm.common import prepared, stored, table
-from formpulse.llm.decontaminate import contaminated
+from formpulse.llm.decontaminate import NARROW, STEP, contaminated
 from formpulse.llm.linededup import dedup_lines, without_lines
 from formpulse.llm.neardup import near_duplicates
 from formpulse.llm.packing import pack
@@ -67,9 +67,9 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark text."""
+    """Documents that hold no benchmark text, nor an excerpt of 80 bytes of one."""
     prepared(spark)
-    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
+    found = contaminated(docs, table(spark, sf_dir, "benchmark"), width=NARROW, stride=STEP)
     return found.where(F.size("__items") == 0).select(*docs.columns)
 
 

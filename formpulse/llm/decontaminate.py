@@ -6,12 +6,17 @@ the document less place in the window) that differ by at most e. So the shared q
 are counted by window and by overlapping bands of diagonals; regions below the bound are left out,
 and the rest are verified by a banded alignment of the window against the region.
 
+An excerpt of width + stride - 1 bytes holds a whole window wherever it starts, so none of that length
+is missed. The query and the pipeline take windows of 64 bytes every 17: excerpts from 80 bytes, some 13
+words. Benchmark texts too short for a bound are matched exactly, on word borders.
+
 Documents are read in one pass for each block of the benchmark and are never shuffled: a block has
 at most ``BLOCK_BYTES`` of benchmark text on average, and one block of q-grams is broadcast at a time.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -25,14 +30,17 @@ from .common import table
 Q = 12
 #: Bytes of a window, and of the steps between windows of a longer text.
 WIDTH, STRIDE = 160, 80
+#: The same where excerpts of 80 bytes must be found.
+NARROW, STEP = 64, 17
 #: Edits allowed for each byte of a window.
 RATE = 0.05
-#: Shorter benchmark texts (normalised) are everyday phrases and are not looked for.
+#: Shorter benchmark texts (normalised) are matched exactly.
 LEAST = 32
 BLOCK_BYTES = 2_000_000
 #: Bytes of a document that are looked at together.
 CHUNK = 1 << 16
 
+_WORDS = re.compile(r"\w+")
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,13 +49,13 @@ def normal(text: str | None) -> bytes:
     return " ".join((text or "").lower().split()).encode("utf-8", "surrogatepass")
 
 
-def windows(text: bytes) -> list[bytes]:
+def windows(text: bytes, width: int = WIDTH, stride: int = STRIDE) -> list[bytes]:
     if len(text) < LEAST:
         return []
-    if len(text) <= WIDTH:
+    if len(text) <= width:
         return [text]
-    starts = [*range(0, len(text) - WIDTH, STRIDE), len(text) - WIDTH]
-    return [text[s: s + WIDTH] for s in starts]
+    starts = [*range(0, len(text) - width, stride), len(text) - width]
+    return [text[s: s + width] for s in starts]
 
 
 def edits(length: int) -> int:
@@ -72,12 +80,51 @@ def grams(text: bytes) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(32))) * _K
 
 
+class Phrases:
+    """Short texts, by their first word, for exact matches on word borders.
+
+    A text without a letter, digit or underscore must stand between blanks.
+    """
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        self.by_word: dict[str, list[tuple[int, str, int]]] = {}
+        self.signs: list[tuple[int, str]] = []
+        for item, text in items:
+            phrase = text.decode("utf-8", "surrogatepass")
+            word = _WORDS.search(phrase)
+            if word:
+                self.by_word.setdefault(word[0], []).append((item, phrase, word.start()))
+            else:
+                self.signs.append((item, f" {phrase} "))
+
+    def found(self, text: bytes) -> set[int]:
+        if not self.by_word and not self.signs:
+            return set()
+        whole = text.decode("utf-8", "surrogatepass")
+        out = {item for item, phrase in self.signs if phrase in f" {whole} "}
+        if self.by_word.keys().isdisjoint(_WORDS.findall(whole)):
+            return out
+        for word in _WORDS.finditer(whole):
+            for item, phrase, at in self.by_word.get(word[0], ()):
+                start = word.start() - at
+                end = start + len(phrase)
+                if start >= 0 and whole.startswith(phrase, start) and not (
+                        _WORDS.match(phrase[-1]) and _WORDS.match(whole[end: end + 1])):
+                    out.add(item)
+        return out
+
+
 class Index:
-    """Q-grams of a block of windows: sorted hashes with their (window, place) postings."""
+    """Q-grams of a block of windows: sorted hashes with their (window, place) postings.
+
+    Texts shorter than ``LEAST`` are phrases.
+    """
 
     BITS = np.uint64(64 - 22)
 
     def __init__(self, items: list[tuple[int, bytes]]):
+        self.phrases = Phrases([x for x in items if len(x[1]) < LEAST])
+        items = [x for x in items if len(x[1]) >= LEAST]
         self.items = [item for item, _ in items]
         self.texts = [text for _, text in items]
         hashes = [grams(t) for t in self.texts]
@@ -124,7 +171,7 @@ class Index:
 
     def matches(self, text: bytes) -> dict[int, int]:
         """By item the least number of edits of a window that lies in the text within its budget."""
-        best: dict[int, int] = {}
+        best: dict[int, int] = dict.fromkeys(self.phrases.found(text), 0)
         overlap = 2 * WIDTH + Q
         for start in range(0, max(1, len(text) - overlap), CHUNK):
             for w, low, high in self.regions(text[start: start + CHUNK + overlap]):
@@ -166,12 +213,13 @@ def distance(window: bytes, region: bytes, most: int) -> int:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
-                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                 block_bytes: int = BLOCK_BYTES, width: int = WIDTH, stride: int = STRIDE) -> DataFrame:
     """The rows of ``docs`` with __items: array<struct<item_id, edits>>, sorted, of benchmark texts
     with a window in the text, empty for clean rows.
 
-    Null and empty texts on either side match nothing, and neither do benchmark texts shorter than
-    ``LEAST``; texts are read whole, in overlapping chunks; null item ids are judged but listed as
+    Excerpts of width + stride - 1 bytes are found wherever they start; ``width`` is ``WIDTH`` at most.
+    Null and empty texts on either side match nothing; benchmark texts shorter than ``LEAST`` match
+    exactly, on word borders; texts are read whole, in overlapping chunks; null item ids are judged but listed as
     null; repeated rows are judged each. An empty benchmark leaves every row clean. Other columns are
     carried along unchanged, but for one named __items.
     """
@@ -184,7 +232,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     out = docs.drop("__items").withColumn("__items", F.array().cast(kind))
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        cut = [(row.item_id, w) for row in own.toLocalIterator() for w in windows(normal(row.text))]
+        whole = ((row.item_id, normal(row.text)) for row in own.toLocalIterator())
+        cut = [(item, w) for item, text in whole if text for w in windows(text, width, stride) or [text]]
         if not cut:
             continue
         shared = spark.sparkContext.broadcast(cut)
@@ -221,7 +270,8 @@ def _index(name: str, shared) -> Index:
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the benchmark texts it holds."""
-    found = contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"),
+                         width=NARROW, stride=STEP)
     return found.select(
         "doc_id", F.size("__items").cast("long").alias("n_items"),
         F.array_join(F.expr("transform(__items, x -> concat(coalesce(cast(x.item_id AS string), ''), ':', x.edits))"), ",").alias("items"),

@@ -3,7 +3,21 @@ import random
 import pytest
 from conftest import edited, frame, prose
 
-from formpulse.llm.decontaminate import CHUNK, LEAST, Index, bound, contaminated, distance, edits, normal, windows
+from corpus_pipeline import decontamination
+from formpulse.llm.decontaminate import (
+    CHUNK,
+    LEAST,
+    NARROW,
+    STEP,
+    Index,
+    bound,
+    contaminated,
+    distance,
+    edits,
+    normal,
+    op6_decontaminate,
+    windows,
+)
 
 
 def nearest(window, text):
@@ -86,3 +100,32 @@ def test_rows(spark, edge_docs, edge_rows):
         assert not any(k.startswith(("(1,", "(2,", "(3,", "(4,", "(8,", "(10,", "(12,")) for k in found)
     assert contaminated(edge_docs.limit(0), bench).collect() == []
     assert all(not r["__items"] for r in contaminated(edge_docs, bench.limit(0)).collect())
+
+
+def test_every_excerpt_of_80_bytes_is_found():
+    item, around = normal(prose(21, 60)), (normal(prose(22, 30)), normal(prose(23, 30)))
+    index = Index([(1, w) for w in windows(item, NARROW, STEP)])
+    assert NARROW + STEP - 1 == 80 and len(item) > 200
+    for start in range(len(item) - 79):
+        assert index.matches(around[0] + b" " + item[start: start + 80] + b" " + around[1]) == {1: 0}
+    assert index.matches(b" ".join(around)) == {}
+
+
+def test_short_texts_match_on_word_borders():
+    index = Index([(1, b"two plus two"), (2, "naïve?".encode()), (3, b"?!"), (4, b'"so" he said'), (None, b"seven")])
+    for text, want in (
+            ("is two plus two, four", {1}), ("two plus twofold", set()), ("into two plus two", {1}), ("stwo plus two", set()),
+            ("two plus\ntwo", {1}), ("so naïve? yes", {2}), ("naïveté? naïve!", set()), ("what ?! now", {3}), ("what?!", set()),
+            ('and "so" he said.', {4}), ("seventy", set()), ("seven", {None}), ("", set())):
+        assert set(index.matches(normal(text))) == want
+
+
+def test_query_and_stage_find_excerpts_and_short_texts(spark, tmp_path):
+    item = prose(31, 45)
+    at = len(item) // 3
+    docs = frame(spark, [(1, f"{prose(32, 40)} {item[at: at + 90]} {prose(33, 40)}", "en", "a"), (2, prose(34, 80), "en", "a"),
+                         (3, f"{prose(35, 20)} What is up, doc? {prose(36, 20)}", "en", "a"), (4, None, "en", "a")])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, item), (8, "what is up, doc?")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {r.doc_id: r["items"] for r in op6_decontaminate(spark, str(tmp_path)).collect()} == {1: "7:0", 2: "", 3: "8:0", 4: ""}
+    assert {r.doc_id for r in decontamination(spark, docs, str(tmp_path)).collect()} == {2, 4}
