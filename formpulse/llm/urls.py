@@ -6,6 +6,9 @@ branch of its own if enough pages take it and the share of bad pages among its l
 significantly from that of the node; the others are rare or statistically alike, and merge into one
 wildcard branch. The path of branches is a page's template, which is rejected if its share of bad
 pages, smoothed by a prior, is too high.
+
+The tree covers whole paths. Below the first levels only nodes are followed in which a branch can still
+be told apart; the wildcards at the end of a template, below those levels, are written as one.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ RULES = (
     ("block", "com/de/"),
 )
 
-#: Levels of the tree; what lies deeper is one wildcard.
+#: Levels that are written out; below them, wildcards at the end of a template are one.
 DEPTH = 4
 #: A segment of more characters is variable.
 LONG = 40
@@ -62,30 +65,59 @@ def masked_segments(path: Column) -> Column:
         F.concat(F.lit("*"), F.regexp_extract(s, "\\.[A-Za-z]{1,5}$", 0))).otherwise(s))
 
 
+def _chosen(out: DataFrame, keys: list[str], d: int) -> DataFrame:
+    """The rows of level ``d``, whose segment is s<d>, with their branch t<d>."""
+    taken = out.groupBy(*keys, f"s{d}").agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad")))
+    # Nulls (shorter paths) are an end, not a branch, but they count in the node.
+    node = taken.groupBy(*keys).agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+    lab, bad, all_lab, all_bad = (F.col(c).cast("double") for c in ("labelled", "bad", "all_labelled", "all_bad"))
+    gap = bad * all_lab - all_bad * lab
+    own = (F.col("pages") >= SUPPORT) & (F.col("labelled") >= LABELLED) & (
+        gap * gap > DIFFERS * all_bad * (all_lab - all_bad) * lab)
+    branch = F.when(F.col(f"s{d}").isNull(), F.lit("")).otherwise(
+        F.concat(F.lit("/"), F.when(own, F.col(f"s{d}")).otherwise(F.lit("*"))))
+    chosen = taken.join(node, keys).select(
+        *(F.col(k).alias(f"__{k}") for k in keys), F.col(f"s{d}").alias("__s"), branch.alias(f"t{d}"))
+    same = F.col(f"s{d}").eqNullSafe(F.col("__s"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"__{k}"))
+    return out.join(chosen, same).drop("__s", *(f"__{k}" for k in keys))
+
+
 def templates(paths: DataFrame) -> DataFrame:
-    """host, masked, template for aggregated rows (host, masked, s0.., pages, labelled, bad)."""
+    """host, masked, template for aggregated rows (host, masked, pages, labelled, bad)."""
+    parts = F.split("masked", "/")
     keys = ["host"]
     out = paths
     for d in range(DEPTH):
         # Each level reads the last one several times, so its few rows are written once.
-        out = stored(out, f"paths-{d}")
-        taken = out.groupBy(*keys, f"s{d}").agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad")))
-        # Nulls (shorter paths) are an end, not a branch, but they count in the node.
-        node = taken.groupBy(*keys).agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
-        lab, bad, all_lab, all_bad = (F.col(c).cast("double") for c in ("labelled", "bad", "all_labelled", "all_bad"))
-        gap = bad * all_lab - all_bad * lab
-        own = (F.col("pages") >= SUPPORT) & (F.col("labelled") >= LABELLED) & (
-            gap * gap > DIFFERS * all_bad * (all_lab - all_bad) * lab)
-        branch = F.when(F.col(f"s{d}").isNull(), F.lit("")).otherwise(
-            F.concat(F.lit("/"), F.when(own, F.col(f"s{d}")).otherwise(F.lit("*"))))
-        chosen = taken.join(node, keys).select(
-            *(F.col(k).alias(f"__{k}") for k in keys), F.col(f"s{d}").alias("__s"), branch.alias(f"t{d}"))
-        same = F.col(f"s{d}").eqNullSafe(F.col("__s"))
-        for k in keys:
-            same = same & (F.col(k) == F.col(f"__{k}"))
-        out = out.join(chosen, same).drop("__s", *(f"__{k}" for k in keys))
+        out = stored(out.withColumn(f"s{d}", F.get(parts, d)), f"paths-{d}")
+        out = _chosen(out, keys, d)
         keys = [*keys, f"t{d}"]
-    return out.withColumn("template", F.concat(*keys[1:], F.when(F.col("deeper"), F.lit("/**")).otherwise(F.lit(""))))
+    columns = ["host", "masked", "pages", "labelled", "bad"]
+    out = out.select(*columns, F.concat(*keys[1:]).alias("top"), F.lit("").alias("below"))
+    node, done, d = ["host", "top", "below"], None, DEPTH
+    while True:
+        # A node without both kinds of labelled pages, or too few, has no branch of its own at any depth.
+        out = stored(out, f"paths-{d}")
+        longer = out.groupBy(*node).agg(
+            F.sum("labelled").alias("n"), F.sum("bad").alias("m"), F.max(F.size(parts)).alias("deepest")).where(
+                (F.col("n") >= LABELLED) & (F.col("m") > 0) & (F.col("m") < F.col("n")) & (F.col("deepest") > d))
+        open_nodes = stored(longer.select(*node), "open-nodes")
+        more = open_nodes.limit(1).count() > 0
+        closed = out.join(open_nodes, node, "left_anti") if more else out
+        done = closed if done is None else done.unionByName(closed)
+        if not more:
+            break
+        out = _chosen(out.join(open_nodes, node, "left_semi").withColumn(f"s{d}", F.get(parts, d)), node, d)
+        # Where the path goes on, levels without a branch of their own are wildcards until one follows.
+        out = out.select(*columns, "top", F.concat("below", f"t{d}").alias("below"))
+        d += 1
+    # Wildcards at the end are one; a path that was left while it went on ends in it too.
+    ended = F.regexp_replace("below", "(/\\*)+$", "")
+    levels = F.size(F.split("below", "/")) - 1
+    open_end = (F.size(parts) - DEPTH > levels) | (ended != F.col("below"))
+    return done.select(*columns, F.concat("top", ended, F.when(open_end, F.lit("/**")).otherwise(F.lit(""))).alias("template"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, key: str = "page_id") -> DataFrame:
@@ -103,9 +135,7 @@ def judge(pages: DataFrame, labels: DataFrame, key: str = "page_id") -> DataFram
     known = labels.groupBy("page_key").agg(F.max("bad").alias("bad"))
     counted = rows.join(known, rows[key] == known.page_key, "left").groupBy("host", "masked").agg(
         F.count("*").alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    parts = F.split("masked", "/")
-    paths = counted.select("*", *(F.get(parts, d).alias(f"s{d}") for d in range(DEPTH)), (F.size(parts) > DEPTH).alias("deeper"))
-    found = stored(templates(paths), "templates")
+    found = stored(templates(counted), "templates")
     purity = (F.sum("bad") + PRIOR_BAD) / (F.sum("labelled") + PRIOR_BAD + PRIOR_GOOD)
     judged = found.groupBy("host", "template").agg(purity.alias("purity"))
     by_path = found.select("host", "masked", "template").join(judged, ["host", "template"])

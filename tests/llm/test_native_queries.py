@@ -61,6 +61,23 @@ def test_urls(spark, tmp_path):
     assert by[101].template == "/bad/*" and by[100].template == "/good/*" and by[200].template == "/*/*" and by[6].template.endswith("/**")
 
 
+def test_url_branches_below_the_fourth_level(spark):
+    """Branches that differ only from the fifth or sixth segment on are judged each; the others stay one."""
+    rows = [(i, f"http://h.net/a/b/c/d/{'bad' if i % 2 else 'good'}/{i}.html", i % 2) for i in range(40)]
+    rows += [(100 + i, f"http://g.net/a/b/c/d/x{i}y/{'spam' if i % 2 else 'fine'}/p/{i}", i % 2) for i in range(40)]
+    rows += [(200 + i, f"http://k.net/a/b/c/d/{'one' if i % 2 else 'two'}/e" + "/f" * (i % 2), i % 3 == 0) for i in range(8)]
+    rows += [(300, "http://h.net/a/b/c/d"), (301, "http://h.net/a/b/c/d/rare"), (302, "http://z.net/" + "a/" * 300)]
+    pages = spark.createDataFrame([(r[0], r[1]) for r in rows], "page_id bigint, url string")
+    labels = spark.createDataFrame([(r[0], int(r[2])) for r in rows if len(r) > 2], "page_key bigint, bad bigint")
+    by = {r.page_id: r for r in judge(pages, labels).collect()}
+    assert len(by) == len(rows)
+    for first, bad, good in ((0, "bad", "good"), (100, "*/spam", "*/fine")):
+        for odd, name, verdict in ((1, bad, "block"), (0, good, "allow")):
+            assert {(by[first + i].template, by[first + i].verdict) for i in range(odd, 40, 2)} == {(f"/*/*/*/*/{name}/**", verdict)}
+    assert len({by[200 + i].template for i in range(8)}) == 1 and by[200].template.endswith("/**")
+    assert by[300].template == "/*/*/*/*" and by[301].template == "/*/*/*/*/**" and by[302].template == "/*/*/*/*/**"
+
+
 def test_rule_helpers(spark):
     one = spark.range(1).selectExpr("'HTTP://U@Ex.Com:80/A?b' AS url")
     host, path = host_and_path(F.col("url"))
