@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import licenses, urls
+from .bpe import op13_bpe
 from .common import Query, prepared
 from .decontaminate import op6_decontaminate
 from .licenses import op3_licences
@@ -27,5 +28,5 @@ def _prepared(run: Query) -> Query:
 
 QUERIES: dict[str, Query] = {f.__name__: _prepared(f) for f in (
     op1_sharding, op2_line_dedup, op3_licences, op4_secrets, op5_quality, op6_decontaminate, op7_minhash,
-    op8_urls, op9_warc, op10_packing)}
+    op8_urls, op9_warc, op10_packing, op13_bpe)}
 ORACLE: dict[str, str] = {"op3_licences": licenses.ORACLE, "op8_urls": urls.ORACLE}
