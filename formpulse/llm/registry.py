@@ -15,6 +15,7 @@ from .packing import op10_packing
 from .quality import op5_quality
 from .secrets import op4_secrets
 from .sharding import op1_sharding
+from .spelling import op12_spelling
 from .urls import op8_urls
 from .warc import op9_warc
 
@@ -28,5 +29,5 @@ def _prepared(run: Query) -> Query:
 
 QUERIES: dict[str, Query] = {f.__name__: _prepared(f) for f in (
     op1_sharding, op2_line_dedup, op3_licences, op4_secrets, op5_quality, op6_decontaminate, op7_minhash,
-    op8_urls, op9_warc, op10_packing, op13_bpe)}
+    op8_urls, op9_warc, op10_packing, op12_spelling, op13_bpe)}
 ORACLE: dict[str, str] = {"op3_licences": licenses.ORACLE, "op8_urls": urls.ORACLE}
