@@ -18,6 +18,7 @@ from .sharding import op1_sharding
 from .spelling import op12_spelling
 from .urls import op8_urls
 from .warc import op9_warc
+from .whitening import op11_whitening
 
 
 def _prepared(run: Query) -> Query:
@@ -29,5 +30,5 @@ def _prepared(run: Query) -> Query:
 
 QUERIES: dict[str, Query] = {f.__name__: _prepared(f) for f in (
     op1_sharding, op2_line_dedup, op3_licences, op4_secrets, op5_quality, op6_decontaminate, op7_minhash,
-    op8_urls, op9_warc, op10_packing, op12_spelling, op13_bpe)}
+    op8_urls, op9_warc, op10_packing, op11_whitening, op12_spelling, op13_bpe)}
 ORACLE: dict[str, str] = {"op3_licences": licenses.ORACLE, "op8_urls": urls.ORACLE}

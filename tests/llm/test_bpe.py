@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers as public
+import pyarrow as pa
 import pytest
 import tiktoken
 from conftest import frame, prose
@@ -91,19 +92,13 @@ def test_frames(spark, edge_docs, edge_rows, reference):
         assert r.ids == reference.encode_ordinary(r.text or "") and bytes(r.raw) == (r.text or "").encode()
 
 
-def test_small_flushes(spark, monkeypatch, edge_docs):
+def test_small_flushes(monkeypatch):
     """Rows are handed on in pieces without being lost."""
-    whole = bpe.encode(edge_docs.select("doc_id", "text"), FILE, public.PATTERN).collect()
-    file, pattern = FILE, public.PATTERN
-
-    def tiny(batches):
-        import formpulse.llm.bpe as module
-        module.FLUSH = 10
-        yield from batches
-
-    docs = edge_docs.select("doc_id", "text")
-    cut = bpe.encode(docs.mapInArrow(tiny, docs.schema), file, pattern).collect()
-    assert sorted(map(repr, whole)) == sorted(map(repr, cut))
+    monkeypatch.setattr(bpe, "FLUSH", 3)
+    batch = pa.RecordBatch.from_pydict({"a": list(range(7)), "text": ["x" * n for n in range(7)]})
+    pieces = list(bpe._rows([batch, batch.slice(0, 0)], lambda v: (v.as_py(), len(v.as_py())), "text"))
+    assert [v for _, values in pieces for v in values] == batch.column(1).to_pylist()
+    assert all(part.column(1).to_pylist() == values for part, values in pieces) and len(pieces) == 5
 
 
 def test_query(spark, tmp_path, edge_rows, reference):
