@@ -17,11 +17,14 @@ their names. Ids that are not in the vocabulary stop the decoding; null ids are
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +32,12 @@ from pyspark.sql import types as T
 
 from .common import table
 
-#: Matches kept with their ids in each worker, and the longest of them, in characters.
-REMEMBERED, SHORT = 300_000, 64
-#: Rows of output gathered before they are handed on, in ids or bytes.
-FLUSH = 4_000_000
+#: Texts kept with their ids in each worker, and the longest of them, in characters.
+REMEMBERED, SHORT = 500_000, 64
+#: White space next to a blank, where a match may hold both.
+_RUN = re.compile(r" \s|\s \Z")
+#: Bytes of text, or ids, that are taken on at a time.
+PART = 2_000_000
 
 
 def read_ranks(file: str) -> dict[bytes, int]:
@@ -41,63 +46,74 @@ def read_ranks(file: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-class PairTree:
-    """Least pair rank over the positions of one match, the leftmost among equals.
+#: No pair begins here.
+NONE = 1 << 62
 
-    A node holds rank * size + position, so that the least number is the leftmost of the least rank.
-    """
 
-    def __init__(self, ranks: list[int | None]):
-        size = 1
-        while size < len(ranks):
-            size *= 2
-        self.size, self.none = size, 1 << 62
-        leaves = [self.none if r is None else r * size + i for i, r in enumerate(ranks)]
-        tree = [self.none] * size + leaves + [self.none] * (size - len(leaves))
-        for i in range(size - 1, 0, -1):
-            left, right = tree[2 * i], tree[2 * i + 1]
-            tree[i] = left if left < right else right
-        self.tree = tree
-
-    def set(self, position: int, rank: int | None) -> None:
-        tree, i = self.tree, position + self.size
-        value = self.none if rank is None else rank * self.size + position
-        tree[i] = value
-        while i > 1:
-            beside = tree[i ^ 1]
-            if beside < value:
-                value = beside
-            i >>= 1
-            if tree[i] == value:
-                break
-            tree[i] = value
-
-    def least(self) -> int | None:
-        """The position of the next merge."""
-        top = self.tree[1]
-        return None if top == self.none else top % self.size
+def pair_tree(ranks: list[int | None]) -> list[int]:
+    """The least pair rank over the positions of one match, the leftmost among equals.
+
+    Node i has the children 2 i and 2 i + 1, the leaves stand in the second half. A node holds
+    rank * leaves + position, so that the least number is the leftmost of the least rank.
+    """
+    size = 1 << (len(ranks) - 1).bit_length()
+    tree = [NONE] * (2 * size)
+    for i, rank in enumerate(ranks):
+        if rank is not None:
+            tree[size + i] = rank * size + i
+    for i in range(size - 1, 0, -1):
+        left, right = tree[2 * i], tree[2 * i + 1]
+        tree[i] = left if left < right else right
+    return tree
+
+
+def climb(tree: list[int], a: int, b: int, c: int) -> None:
+    """Bring the ancestors of three leaves, given in order, up to date; paths that meet are climbed once."""
+    a, b, c = a >> 1, b >> 1, c >> 1
+    while a != c:
+        left, right = tree[2 * a], tree[2 * a + 1]
+        tree[a] = left if left < right else right
+        if b != a:
+            left, right = tree[2 * b], tree[2 * b + 1]
+            tree[b] = left if left < right else right
+        if c != b:
+            left, right = tree[2 * c], tree[2 * c + 1]
+            tree[c] = left if left < right else right
+        a, b, c = a >> 1, b >> 1, c >> 1
+    while a:
+        left, right = tree[2 * a], tree[2 * a + 1]
+        tree[a] = left if left < right else right
+        a >>= 1
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one match: its own if it is a token, else those of the parts that no merge joins."""
-    whole = ranks.get(piece)
+    rank = ranks.get
+    whole = rank(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
     # A live part begins at i and ends before following[i]; before[i] begins the part to its left.
     following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    pairs = PairTree([ranks.get(piece[i:i + 2]) if i + 1 < n else None for i in range(n)])
-    while (at := pairs.least()) is not None:
-        gone = following[at]
-        end = following[gone]
-        following[at] = end
+    tree = pair_tree([rank(piece[i:i + 2]) for i in range(n - 1)] + [None])
+    size = len(tree) // 2
+    while (top := tree[1]) != NONE:
+        at = top % size
+        gone, left = following[at], before[at]
+        following[at] = end = following[gone]
+        first = here = size + at
         if end < n:
             before[end] = at
-        pairs.set(gone, None)
-        pairs.set(at, ranks.get(piece[at:following[end]]) if end < n else None)
-        left = before[at]
+            joined = rank(piece[at:following[end]])
+            tree[here] = NONE if joined is None else joined * size + at
+        else:
+            tree[here] = NONE
         if left >= 0:
-            pairs.set(left, ranks.get(piece[left:end]))
+            joined = rank(piece[left:end])
+            first = size + left
+            tree[first] = NONE if joined is None else joined * size + left
+        tree[size + gone] = NONE
+        climb(tree, first, here, size + gone)
     out, at = [], 0
     while at < n:
         out.append(ranks[piece[at:following[at]]])
@@ -106,26 +122,47 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """Ids of texts under one vocabulary and pattern, and their bytes."""
+    """Ids of texts under one vocabulary and pattern, and their bytes.
 
-    def __init__(self, file: str, pattern: str):
+    ``blanks`` says that no match of the pattern holds a single blank but at its start, so that texts may
+    be cut before each blank that stands alone.
+    """
+
+    def __init__(self, file: str, pattern: str, blanks: bool):
         self.ranks = read_ranks(file)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.find = regex.compile(pattern).findall
+        self.blanks = blanks
+        #: Ids of pieces and matches as 32-bit numbers.
         self.met: dict[str, bytes] = {}
 
-    def _ids(self, match: str) -> bytes:
-        """Ids of a match as 32-bit numbers."""
-        packed = array("i", merge(match.encode(), self.ranks)).tobytes()
-        if len(match) <= SHORT:
-            if len(self.met) >= REMEMBERED:
-                self.met.clear()
-            self.met[match] = packed
-        return packed
-
-    def encode(self, text: str) -> bytes:
-        met, ids = self.met.get, self._ids
-        return b"".join([met(match) or ids(match) for match in self.find(text)])
+    def _pieces(self, text: str) -> list[str]:
+        """The text in pieces of whole matches."""
+        if not self.blanks or _RUN.search(text):
+            return self.find(text)
+        first, *rest = text.split(" ")
+        return [first, *[" " + piece for piece in rest]] if first else [" " + piece for piece in rest]
+
+    def _match(self, match: str) -> bytes:
+        found = self.met.get(match)
+        if found is None:
+            found = self.met[match] = array("i", merge(match.encode(), self.ranks)).tobytes()
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit numbers; equal pieces of the texts are matched and merged once."""
+        met = self.met
+        if len(met) > REMEMBERED:
+            met.clear()
+        cut = [self._pieces(text) for text in texts]
+        new = set().union(*cut).difference(met)
+        for piece in new:
+            met[piece] = b"".join([self._match(match) for match in self.find(piece)])
+        out = [b"".join(map(met.__getitem__, pieces)) for pieces in cut]
+        for piece in new:
+            if len(piece) > SHORT:
+                del met[piece]
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -134,20 +171,22 @@ class Codec:
 @lru_cache(maxsize=2)
 def codec(file: str, pattern: str) -> Codec:
     """One codec for each worker, file and pattern."""
-    return Codec(file, pattern)
+    import public_tokenizers
 
+    return Codec(file, pattern, pattern == public_tokenizers.PATTERN)
 
-def _rows(batches: Iterator[pa.RecordBatch], make, name: str) -> Iterator[pa.RecordBatch]:
-    """Each batch with one column more; rows are handed on before they grow too many."""
+
+def _cut(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose values in one column are long together at one row only."""
     for batch in batches:
-        start, values, size = 0, [], 0
-        for row, value in enumerate(batch.column(batch.schema.get_field_index(name)), 1):
-            made, cost = make(value)
-            values.append(made)
-            size += cost
-            if size >= FLUSH or row == batch.num_rows:
-                yield batch.slice(start, row - start), values
-                start, values, size = row, [], 0
+        lengths = pc.fill_null(pc.cast(_length(batch.column(batch.schema.get_field_index(name))), pa.int64()), 0)
+        ends = np.cumsum(lengths.to_numpy(zero_copy_only=False)) // PART
+        starts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(starts, starts[1:]) if b > a)
+
+
+def _length(column: pa.Array) -> pa.Array:
+    return pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
 
 
 def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
@@ -159,12 +198,8 @@ def encode(df: DataFrame, file: str, pattern: str, *, text: str = "text", ids: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(file, pattern)
-
-        def make(value: pa.Scalar):
-            packed = own.encode(value.as_py() or "")
-            return packed, len(packed) // 4
-
-        for batch, values in _rows(batches, make, text):
+        for batch in _cut(batches, text):
+            values = own.encode([value or "" for value in batch.column(batch.schema.get_field_index(text)).to_pylist()])
             offsets = array("i", [0])
             for packed in values:
                 offsets.append(offsets[-1] + len(packed) // 4)
@@ -179,12 +214,9 @@ def decode(df: DataFrame, file: str, pattern: str, *, ids: str = "ids", out: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(file, pattern)
-
-        def make(value: pa.Scalar):
-            made = own.decode(value.values.to_pylist()) if value.is_valid else None
-            return made, len(made or b"")
-
-        for batch, values in _rows(batches, make, ids):
+        for batch in _cut(batches, ids):
+            lists = batch.column(batch.schema.get_field_index(ids)).to_pylist()
+            values = [None if value is None else own.decode(value) for value in lists]
             yield _with(batch, out, pa.array(values, pa.binary()))
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))

@@ -27,7 +27,7 @@ def own():
 
 
 def ids(codec, text):
-    return list(memoryview(codec.encode(text)).cast("i"))
+    return list(memoryview(codec.encode([text])[0]).cast("i"))
 
 
 def plain_merge(piece, ranks):
@@ -58,17 +58,21 @@ def test_merges_of_any_ranks(piece, seed):
 @given(st.lists(st.one_of(st.none(), st.integers(0, 5)), min_size=1, max_size=20),
        st.lists(st.tuples(st.integers(0, 19), st.one_of(st.none(), st.integers(0, 5))), max_size=30))
 def test_tree_holds_the_leftmost_least(ranks, updates):
-    tree = bpe.PairTree(ranks)
+    tree = bpe.pair_tree(ranks)
+    size = len(tree) // 2
     for at, rank in [(0, ranks[0]), *updates]:
-        if at < len(ranks):
-            ranks[at] = rank
-            tree.set(at, rank)
-        least = min(((r, i) for i, r in enumerate(ranks) if r is not None), default=(0, None))[1]
-        assert tree.least() == least
+        changed = [i for i in (at, at + 1 + at % 3, at + 2 + at % 5) if i < len(ranks)]
+        for i in changed:
+            ranks[i] = rank
+            tree[size + i] = bpe.NONE if rank is None else rank * size + i
+        if changed:
+            bpe.climb(tree, size + changed[0], size + changed[len(changed) // 2], size + changed[-1])
+        least = min(((r * size + i) for i, r in enumerate(ranks) if r is not None), default=bpe.NONE)
+        assert tree[1] == least
 
 
 @settings(max_examples=200, deadline=None)
-@given(text=st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t'sret中é🙂1")), max_size=200))
+@given(text=st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("    \n\t'sret中é🙂1\x1c\x85\u2028\xa0")), max_size=200))
 def test_same_ids_as_the_library(own, reference, text):
     found = ids(own, text)
     assert found == reference.encode_ordinary(text)
@@ -76,11 +80,20 @@ def test_same_ids_as_the_library(own, reference, text):
 
 
 @pytest.mark.parametrize("text", [
-    "a" * 70_000, "é" * 20_000, "ab" * 30_000, " " * 5000 + "x", "\n" * 3000, "9" * 10_000, prose(5, 20_000), "<|endoftext|>"])
+    "a" * 70_000, "é" * 20_000, "ab" * 30_000, " " * 5000 + "x", "\n" * 3000, "9" * 10_000, prose(5, 20_000), "<|endoftext|>", " ", "  ", "a ", "a \n", "a\n ", "\n a", " \n  a b  c "])
 def test_long_matches(own, reference, text):
     assert ids(own, text) == reference.encode_ordinary(text)
 
 
+def test_forgetting(monkeypatch, reference):
+    """More different words than are kept, met again and again."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    small = bpe.Codec(FILE, public.PATTERN, True)
+    for seed in (1, 2, 1, 3, 2):
+        text = prose(seed, 300) + " " + "y" * 100
+        assert ids(small, text) == reference.encode_ordinary(text) and max(map(len, small.met)) <= 100
+
+
 def test_frames(spark, edge_docs, edge_rows, reference):
     """Nulls, empty and long texts, repeated rows, and columns with names of the operator's own."""
     docs = edge_docs.withColumnRenamed("ids", "ids_")
@@ -92,13 +105,14 @@ def test_frames(spark, edge_docs, edge_rows, reference):
         assert r.ids == reference.encode_ordinary(r.text or "") and bytes(r.raw) == (r.text or "").encode()
 
 
-def test_small_flushes(monkeypatch):
-    """Rows are handed on in pieces without being lost."""
-    monkeypatch.setattr(bpe, "FLUSH", 3)
-    batch = pa.RecordBatch.from_pydict({"a": list(range(7)), "text": ["x" * n for n in range(7)]})
-    pieces = list(bpe._rows([batch, batch.slice(0, 0)], lambda v: (v.as_py(), len(v.as_py())), "text"))
-    assert [v for _, values in pieces for v in values] == batch.column(1).to_pylist()
-    assert all(part.column(1).to_pylist() == values for part, values in pieces) and len(pieces) == 5
+def test_parts(monkeypatch):
+    """Rows are taken on in parts without being lost."""
+    monkeypatch.setattr(bpe, "PART", 3)
+    batch = pa.RecordBatch.from_pydict({"a": list(range(8)), "text": [*("x" * n for n in range(7)), None]})
+    for name, column in (("text", batch.column(1)), ("ids", pa.array([*([1] * n for n in range(7)), None]))):
+        batch = pa.RecordBatch.from_arrays([batch.column(0), column], names=["a", name])
+        parts = list(bpe._cut([batch, batch.slice(0, 0)], name))
+        assert pa.Table.from_batches(parts).to_pydict() == pa.Table.from_batches([batch]).to_pydict() and len(parts) == 6
 
 
 def test_query(spark, tmp_path, edge_rows, reference):
