@@ -130,7 +130,10 @@ class Codec:
 
     def __init__(self, file: str, pattern: str, blanks: bool):
         self.ranks = read_ranks(file)
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        by_rank = {rank: token for token, rank in self.ranks.items()}
+        if sorted(by_rank) != list(range(len(by_rank))):
+            raise ValueError("ranks have gaps")
+        self.tokens = pa.array([by_rank[rank] for rank in range(len(by_rank))], pa.binary())
         self.find = regex.compile(pattern).findall
         self.blanks = blanks
         #: Ids of pieces and matches as 32-bit numbers.
@@ -164,8 +167,17 @@ class Codec:
                 del met[piece]
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: pa.ListArray) -> pa.BinaryArray:
+        """Bytes of each list: the tokens' bytes, one after the other, with the lists' own ends."""
+        values = ids.flatten()
+        if values.null_count or (len(values) and not 0 <= pc.min(values).as_py() <= pc.max(values).as_py() < len(self.tokens)):
+            raise ValueError("ids are not in the vocabulary")
+        tokens = self.tokens.take(values)
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+        starts = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset:tokens.offset + len(tokens) + 1] if len(tokens) else np.zeros(1, np.int32)
+        offsets = pa.py_buffer(np.ascontiguousarray(starts[ends], np.int32).tobytes())
+        whole = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, offsets, tokens.buffers()[2] or pa.py_buffer(b"")])
+        return pc.if_else(ids.is_valid(), whole, pa.scalar(None, pa.binary())) if ids.null_count else whole
 
 
 @lru_cache(maxsize=2)
@@ -215,9 +227,7 @@ def decode(df: DataFrame, file: str, pattern: str, *, ids: str = "ids", out: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(file, pattern)
         for batch in _cut(batches, ids):
-            lists = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            values = [None if value is None else own.decode(value) for value in lists]
-            yield _with(batch, out, pa.array(values, pa.binary()))
+            yield _with(batch, out, own.decode(batch.column(batch.schema.get_field_index(ids))))
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
 

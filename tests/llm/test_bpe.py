@@ -76,7 +76,7 @@ def test_tree_holds_the_leftmost_least(ranks, updates):
 def test_same_ids_as_the_library(own, reference, text):
     found = ids(own, text)
     assert found == reference.encode_ordinary(text)
-    assert own.decode(found) == text.encode()
+    assert own.decode(pa.array([None, found, [], found], pa.list_(pa.int32()))).to_pylist() == [None, text.encode(), b"", text.encode()]
 
 
 @pytest.mark.parametrize("text", [
@@ -105,6 +105,15 @@ def test_frames(spark, edge_docs, edge_rows, reference):
         assert r.ids == reference.encode_ordinary(r.text or "") and bytes(r.raw) == (r.text or "").encode()
 
 
+def test_foreign_ids(own):
+    for bad in ([-1], [50256], [1, None]):
+        with pytest.raises(ValueError, match="vocabulary"):
+            own.decode(pa.array([[5], bad], pa.list_(pa.int32())))
+    sliced = pa.array([[1], [2, 3], None, [4]], pa.list_(pa.int32())).slice(1)
+    token = {rank: t for t, rank in own.ranks.items()}
+    assert own.decode(sliced).to_pylist() == [token[2] + token[3], None, token[4]]
+
+
 def test_parts(monkeypatch):
     """Rows are taken on in parts without being lost."""
     monkeypatch.setattr(bpe, "PART", 3)
