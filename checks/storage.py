@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import sql as S
-from checks.aggregates import _DISTINCT_COMMENTS
+from checks.aggregates import _DISTINCT_COMMENTS, _summary_sql
 from checks.columns import RAW_COLUMNS_SQL
 from checks.filters import _RANKED, _RATED
-from checks.registry import query
+from checks.registry import ORACLE, query
 from formpulse import fixed_values as fv
 from formpulse.operators import attendants as att
 from formpulse.operators import comments
@@ -19,7 +19,17 @@ from formpulse.operators import manifestations as mf
 from formpulse.session import work_folder
 from formpulse.sources import audit, bundle, csv, sinks
 from formpulse.sources import bindings as b
-from formpulse.streaming import read_period_stats, stream_ingest, stream_period_stats
+from formpulse.streaming import (
+    compact_ingested,
+    compact_reports,
+    read_ingested,
+    read_period_stats,
+    read_report,
+    refresh_if_stale,
+    stream_ingest,
+    stream_period_stats,
+    stream_reports,
+)
 
 
 def export(df, path: str) -> str:
@@ -162,16 +172,58 @@ def _(spark, d):
 
 @query("refresh_if_stale", _CLEAN_SQL)
 def _(spark, d):
-    """Two drops and three runs: every export is taken once, and a run without news adds nothing."""
+    """Two drops and three looks: a fresh table stays as it is, a stale one takes in what waits."""
     root = work_folder(spark)
     raw = b.raw_manifestations(spark, d)
     early = F.col("data").substr(7, 4) < "1998"
-    for drop in (raw.where(early), raw.where(~early), None):
+    paths = (f"{root}/drop", f"{root}/table", f"{root}/progress")
+    looked = []
+    for drop, max_age in ((raw.where(early), 3600), (raw.where(~early), 3600), (None, -1)):
         if drop is not None:
-            drop.write.mode("append").options(**sinks.CSV_OPTIONS).csv(f"{root}/drop")
-        stream_ingest(spark, f"{root}/drop", f"{root}/table",
-                      f"{root}/progress").awaitTermination()
-    return sinks.read_clean_parquet(spark, f"{root}/table", fv.CLEAN_COLUMNS)
+            drop.write.mode("append").options(**sinks.CSV_OPTIONS).csv(paths[0])
+        looked.append(refresh_if_stale(spark, *paths, max_age=max_age))
+    if looked != [True, False, True]:
+        raise ValueError(f"a fresh table must not be refreshed, a stale one must: {looked}")
+    return read_ingested(spark, paths[1], columns=fv.CLEAN_COLUMNS)
+
+
+def _in_three_drops(spark, d, root: str):
+    """Drops that all touch every period, each taken in before the next; yields after each."""
+    raw = b.raw_manifestations(spark, d)
+    for part in range(3):
+        drop = raw.where(F.pmod(F.hash("data", "nome", "email"), F.lit(3)) == part)
+        drop.write.mode("append").options(**sinks.CSV_OPTIONS).csv(f"{root}/drop")
+        stream_reports(spark, f"{root}/drop", root).awaitTermination()
+        yield part
+
+
+@query("compact_ingested", _CLEAN_SQL)
+def _(spark, d):
+    """Batches folded twice, with one after the last fold."""
+    root = work_folder(spark)
+    for part in _in_three_drops(spark, d, root):
+        if part < 2:
+            compact_ingested(spark, f"{root}/clean")
+    return read_ingested(spark, f"{root}/clean", columns=fv.CLEAN_COLUMNS)
+
+
+@query("stream_reports", ORACLE["write_period_stats"])
+def _(spark, d):
+    """Shares kept current over three batches, with a compaction between them."""
+    root = work_folder(spark)
+    for part in _in_three_drops(spark, d, root):
+        if part == 1:
+            compact_reports(spark, root)
+    return read_report(spark, root, "estatisticas")
+
+
+@query("stream_reports_nps", _summary_sql("periodo").replace("FROM m GROUP BY", (
+    "FROM (SELECT * REPLACE (coalesce(nps, 0) AS nps) FROM m) GROUP BY")))
+def _(spark, d):
+    root = work_folder(spark)
+    for _ in _in_three_drops(spark, d, root):
+        pass
+    return read_report(spark, root, "nps")
 
 
 @query("stream_period_stats", """

@@ -16,6 +16,8 @@ from formpulse.operators.periods import drop_null_score, filter_month_in, filter
 from formpulse.operators.reshape import dcast, union_forms
 
 CLASS_COUNTS = ("DETRATORES", "NEUTRO", "PROMOTORES")
+#: Counts of a summary by the sign of a score.
+SIGNS = {-1: "detratores", 0: "neutros", 1: "promotores"}
 
 
 def nps_summary(
@@ -27,11 +29,13 @@ def nps_summary(
     and a null zone.
     """
     sign = nps.nps_sign(F.col("nps"), null_score=null_score)
-    names = ("detratores", "neutros", "promotores")
-    counts = df.groupBy(*keys).agg(
-        *(count_when(sign == value).alias(name) for value, name in zip((-1, 0, 1), names,
-                                                                        strict=True))
-    )
+    return summary_of_counts(df.groupBy(*keys).agg(
+        *(count_when(sign == value).alias(name) for value, name in SIGNS.items())), keys)
+
+
+def summary_of_counts(counts: DataFrame, keys: Sequence[str] = PERIOD) -> DataFrame:
+    """Shares, score and zone of groups whose classes are counted already."""
+    names = tuple(SIGNS.values())
     total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
     shares = {n: share(F.col(n), F.col("total")) for n in names}
     score = half_even((shares["promotores"] - shares["detratores"]) * 100, 2)

@@ -13,8 +13,7 @@ from formpulse.operators import nps, periods
 from formpulse.session import tune
 from formpulse.sources.csv import layout_schema
 from formpulse.sources.normalize import clean_manifestations
-from formpulse.sources.sinks import read_clean_parquet
-from formpulse.streaming.ingest import stream_ingest
+from formpulse.streaming.ingest import read_ingested, refresh_if_stale
 
 
 def dashboard_tables(
@@ -44,7 +43,7 @@ def read_dashboard_table(spark: SparkSession, path: str) -> DataFrame:
     """The clean table, without rows where no export was taken in yet."""
     empty = clean_manifestations(spark.createDataFrame([], layout_schema("manifestation10")))
     try:
-        return read_clean_parquet(spark, path, fv.CLEAN_COLUMNS, schema=empty.schema)
+        return read_ingested(spark, path, columns=fv.CLEAN_COLUMNS, schema=empty.schema)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -53,16 +52,16 @@ def read_dashboard_table(spark: SparkSession, path: str) -> DataFrame:
 
 def refresh_dashboard(
     spark: SparkSession, drop_folder: str, out: str, period: str | None = None, *,
-    null_score: str = "detractor", **read_options,
+    null_score: str = "detractor", max_age: float = -1, **read_options,
 ) -> dict[str, DataFrame]:
     """Take in the exports that arrived since the last run, then give the tables.
 
-    Rejects and the run log lie next to the clean table. A first run without exports gives empty
-    tables.
+    With ``max_age`` a table that is no older, in seconds, is given as it is. Rejects and the run
+    log lie next to the clean table. A first run without exports gives empty tables.
     """
     tune(spark)
     clean = partial(clean_manifestations, null_score=null_score)
-    stream_ingest(spark, drop_folder, f"{out}/clean", f"{out}/progress", clean=clean,
-                  **read_options).awaitTermination()
+    refresh_if_stale(spark, drop_folder, f"{out}/clean", f"{out}/progress", max_age=max_age, clean=clean,
+                     **read_options)
     return dashboard_tables(
         read_dashboard_table(spark, f"{out}/clean"), period, null_score=null_score)
