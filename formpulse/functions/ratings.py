@@ -26,15 +26,16 @@ _FIFTHS = {answer: i for i, answer in enumerate(fv.LIKERT_ANSWERS, start=1)}
 def likert_ordinal(name: str) -> Column:
     """1..4 from an answer column, ignoring case and accents; any other text is null.
 
-    Forms offer fixed answers, so the usual spellings are looked up as they are; only other texts
-    pay for folding accents.
+    Texts are compared by Unicode's rules without case and accents, so that a letter with its mark in
+    one character and one followed by a combining mark are the same. Forms offer fixed answers, so the
+    usual spellings are looked up as they are; only other texts pay for that comparison.
     """
-    folded = f"translate(lower(`{name}`), '{fv.ACCENTED}', '{fv.UNACCENTED}')"
     unrated = ", ".join(map(sql_literal, _UNRATED))
+    folded = f"collate(`{name}`, 'UNICODE_CI_AI')"
+    words = " ".join(f"WHEN {folded} = {sql_literal(w)} THEN {i}" for w, i in _WORDS.items())
     return F.expr(
         f"CASE WHEN `{name}` NOT IN ({unrated}) THEN "
-        f"coalesce(element_at({map_sql(_RATED)}, `{name}`), "
-        f"element_at({map_sql(_WORDS)}, {folded})) END"
+        f"coalesce(element_at({map_sql(_RATED)}, `{name}`), CASE {words} END) END"
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,11 @@ def calendar_dimension(
 ) -> DataFrame:
     """Twelve rows per year up to the current one, with semester, quarter and bimester labels."""
     last_year = last_year or datetime.date.today().year
-    months = spark.range(first_year * 12, (last_year + 1) * 12, numPartitions=1)
+    return _labelled(spark.range(first_year * 12, (last_year + 1) * 12, numPartitions=1))
+
+
+def _labelled(months: DataFrame) -> DataFrame:
+    """The calendar's rows from month numbers ``id``, counted from year 0."""
     year = (F.col("id") / 12).cast("int")
     ordinal = (F.col("id") % 12 + 1).cast("int")
     base = months.select(year.alias("ANO"), ordinal.alias("MES_ORDINAL"))
@@ -43,12 +48,18 @@ def calendar_dimension(
 
 
 def calendar_of(*forms: DataFrame, year: str = "ano_consolidacao") -> DataFrame:
-    """The calendar of all years in which there are forms, and up to the current one; one row of
-    bounds per frame reaches the driver."""
-    bounds = [y for f in forms for y in f.agg(F.min(year), F.max(year)).first() if y is not None]
-    this_year = datetime.date.today().year
-    return calendar_dimension(
-        forms[0].sparkSession, min([*bounds, this_year]), max([*bounds, this_year]))
+    """The calendar of all years in which there are forms, and up to the current one.
+
+    Its bounds are part of the plan: an aggregate of one row, from which the months are generated, so
+    that nothing runs before a report does. Given counts per month instead of forms, a report that
+    also counts them scans its forms once, as both use the same shuffle.
+    """
+    years = [f.select(F.col(year).cast("int").alias("y")) for f in forms]
+    this_year = F.year(F.current_date())
+    bounds = reduce(DataFrame.unionAll, years).agg(
+        F.least(F.min("y"), this_year).alias("first"), F.greatest(F.max("y"), this_year).alias("last"))
+    months = F.sequence(F.col("first") * 12, F.col("last") * 12 + 11)
+    return _labelled(bounds.select(F.explode(months).cast("long").alias("id")))
 
 
 def join_calendar(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from formpulse import fixed_values as fv
 from formpulse.functions import dates, nps
 from formpulse.functions.numbers import count_when, half_even, percent_label, share
-from formpulse.operators.calendar import join_calendar
+from formpulse.operators.calendar import calendar_of, join_calendar
 from formpulse.operators.keys import CONSOLIDATION, PERIOD
 from formpulse.operators.periods import drop_null_score, filter_month_in, filter_year
 from formpulse.operators.reshape import dcast, union_forms
@@ -92,11 +92,17 @@ def _monthly_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _on_calendar(rows: DataFrame, calendar: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Monthly counts with the calendar's labels; without a calendar that of the counted years."""
+    counts = _monthly_counts(rows, keys)
+    return join_calendar(counts, calendar_of(counts, year="ANO") if calendar is None else calendar)
+
+
 def nps_by_period_origin(
-    rows: DataFrame, calendar: DataFrame, keys: Sequence[str] = ()
+    rows: DataFrame, calendar: DataFrame | None = None, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Forms per period and origin with the sum of signs; unmatched months share a null period."""
-    joined = join_calendar(_monthly_counts(rows, keys), calendar)
+    joined = _on_calendar(rows, calendar, keys)
     counts = joined.groupBy(*keys, "PERIODO_CURTO").agg(
         F.sum("TOTAL").alias("QTDE_FORM"),
         F.sum("QTDE_GERAL").alias("QTDE_GERAL"),
@@ -107,14 +113,15 @@ def nps_by_period_origin(
 
 
 def nps_composition(
-    rows: DataFrame, calendar: DataFrame, quarter: str | None = None, keys: Sequence[str] = ()
+    rows: DataFrame, calendar: DataFrame | None = None, quarter: str | None = None,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Class counts and whole percents per calendar period, of one quarter or of all.
 
     The score is the difference of the rounded percents, so it can differ by a point from
     :func:`nps_summary`.
     """
-    joined = join_calendar(_monthly_counts(rows, keys), calendar)
+    joined = _on_calendar(rows, calendar, keys)
     wanted = F.col("ID_TRIMESTRE").isNotNull() if quarter is None else (
         F.col("ID_TRIMESTRE") == quarter)
     sums = joined.where(wanted).groupBy(*keys, "ID_TRIMESTRE", "PERIODO_CURTO").agg(
@@ -135,10 +142,10 @@ def nps_composition(
 
 
 def nps_quarter_total(
-    rows: DataFrame, calendar: DataFrame, keys: Sequence[str] = ()
+    rows: DataFrame, calendar: DataFrame | None = None, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Scored forms per quarter."""
-    joined = join_calendar(_monthly_counts(rows, keys), calendar)
+    joined = _on_calendar(rows, calendar, keys)
     return joined.where(F.col("ID_TRIMESTRE").isNotNull()).groupBy(*keys, "ID_TRIMESTRE").agg(
         F.sum("TOTAL").alias("TOTAL")
     )

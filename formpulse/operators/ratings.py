@@ -20,24 +20,36 @@ def rating_by_question(
 ) -> DataFrame:
     """Counts of the four ratings per question.
 
-    Answers are exploded with their position and counted in place: partial aggregation leaves one
-    row per task, period and question, and the four counters compile to a small loop where 28 x 4
-    counters would not. Question names replace the positions after the shuffle.
+    A form becomes one row per ``GROUPED`` questions, and the four ratings of each are counted in
+    place: partial aggregation leaves one row per task, period and group of questions, and sixteen
+    counters still compile to a small loop where 28 x 4 would not. Question names replace the
+    positions after the shuffle.
     """
-    long = df.select(*keys, F.posexplode(F.array(*questions)).alias("question", "rating"))
-    counts = long.where(F.col("rating").isNotNull()).groupBy(*keys, "question").agg(
-        *(count_when(F.col("rating") == i).alias(label)
-          for i, label in enumerate(fv.RATING_LABELS, start=1))
-    )
-    name = F.get(literal_array(questions), F.col("question"))
-    return counts.select(*keys, name.alias("x"), *fv.RATING_LABELS)
+    names = list(questions) + [None] * (-len(questions) % GROUPED)
+    groups = [names[i:i + GROUPED] for i in range(0, len(names), GROUPED)]
+    answers = F.array(*(F.struct(*(
+        (F.lit(None).cast("int") if q is None else F.col(q)).alias(f"q{i}") for i, q in enumerate(group)
+    )) for group in groups))
+    rows = df.select(*keys, F.posexplode(answers).alias("group", "answers"))
+    counts = rows.groupBy(*keys, "group").agg(
+        *(count_when(F.col(f"answers.q{i}") == r).alias(f"n{i}{r}") for i in range(GROUPED) for r in range(1, 5)))
+    each = F.array(*(F.struct(
+        F.get(literal_array(questions), F.col("group") * GROUPED + i).alias("x"),
+        *(F.col(f"n{i}{r}").alias(label) for r, label in enumerate(fv.RATING_LABELS, start=1))
+    ) for i in range(GROUPED)))
+    answered = sum((F.col(label) for label in fv.RATING_LABELS[1:]), F.col(fv.RATING_LABELS[0]))
+    return counts.select(*keys, F.inline(each)).where(answered > 0)
+
+
+#: Questions of a form that are counted in one row.
+GROUPED = 4
 
 
 # A form has at most 28 answers, so how often it gives each rating fits into eight bits.
 _BITS = 8
 
 
-def _packed(questions: Sequence[str]) -> Column:
+def packed_ratings(questions: Sequence[str]) -> Column:
     """How often a form gives each of the four ratings, packed into one whole number."""
     if len(questions) >= 2**_BITS:
         raise ValueError(f"{len(questions)} answers do not fit into {_BITS} bits")
@@ -46,7 +58,7 @@ def _packed(questions: Sequence[str]) -> Column:
     ))
 
 
-def _unpacked(packed: str, rating: int) -> Column:
+def unpacked_rating(packed: str, rating: int) -> Column:
     shifted = F.shiftright(F.col(packed), _BITS * (rating - 1))
     return shifted.bitwiseAND(F.lit(2**_BITS - 1))
 
@@ -55,10 +67,10 @@ def _packed_forms(
     keys: Sequence[str], general: DataFrame, ambulatory: DataFrame | None = None
 ) -> DataFrame:
     """One row per form with its packed counts; counting answers needs no exploded rows."""
-    forms = general.select(*keys, _packed(fv.QUESTIONS).alias(GENERAL))
+    forms = general.select(*keys, packed_ratings(fv.QUESTIONS).alias(GENERAL))
     if ambulatory is None:
         return forms
-    others = ambulatory.select(*keys, _packed(fv.AMBULATORY_QUESTIONS).alias(AMBULATORY))
+    others = ambulatory.select(*keys, packed_ratings(fv.AMBULATORY_QUESTIONS).alias(AMBULATORY))
     return forms.unionByName(others, allowMissingColumns=True).fillna(0, [GENERAL, AMBULATORY])
 
 
@@ -103,9 +115,14 @@ def rating_distribution(
     forms nor the shares need a join or a window.
     """
     wide = _packed_forms(keys, general, ambulatory).groupBy(*keys).agg(
-        *(F.sum(_unpacked(form, r)).alias(f"{form}{r}")
+        *(F.sum(unpacked_rating(form, r)).alias(f"{form}{r}")
           for form in (GENERAL, AMBULATORY) for r in range(1, 5))
     )
+    return distribution_of_counts(wide, keys, complete=complete)
+
+
+def distribution_of_counts(wide: DataFrame, keys: Sequence[str], *, complete: bool = False) -> DataFrame:
+    """The distribution from a row per period with answers ``x1``..``x4`` and ``y1``..``y4``."""
     kept = _kept(complete)
     totals = {
         form: sum((F.when(kept[r], F.col(f"{form}{r}")).otherwise(0) for r in range(2, 5)),
@@ -152,7 +169,7 @@ def rating_distribution_general(
 ) -> DataFrame:
     """The older rule: totals and percents of the general form alone."""
     wide = _packed_forms(keys, general).groupBy(*keys).agg(
-        *(F.sum(_unpacked(GENERAL, r)).alias(f"x{r}") for r in range(1, 5))
+        *(F.sum(unpacked_rating(GENERAL, r)).alias(f"x{r}") for r in range(1, 5))
     )
     wide = wide.withColumn("__x", F.expr("x1 + x2 + x3 + x4"))
     rows = F.array(
@@ -170,6 +187,11 @@ def mean_rating_histogram(
 ) -> DataFrame:
     """Forms per rounded-up mean answer (1..4), per form and period."""
     wide = _four_by_two(_both_forms(general, ambulatory, keys, _bucket), keys)
+    return histogram_of_counts(wide, keys)
+
+
+def histogram_of_counts(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The histogram from a row per period with forms ``x1``..``x4`` and ``y1``..``y4``."""
     names = {GENERAL: "general", AMBULATORY: "ambulatory"}
     rows = F.array(
         *(
@@ -206,7 +228,6 @@ def good_or_excellent_indicator(
 ) -> DataFrame:
     """Two indicators per period: forms whose mean answer is above 2, and forms in all."""
     buckets = _both_forms(general, ambulatory, keys, _bucket)
-    kept = _kept(complete)
     wide = buckets.groupBy(*keys).agg(
         *(
             count_when((F.col("form") == form) & (F.col("rating") == r)).alias(f"{form}{r}")
@@ -215,6 +236,12 @@ def good_or_excellent_indicator(
         ),
         F.count("*").alias("n"),
     )
+    return indicator_of_counts(wide, keys, complete=complete)
+
+
+def indicator_of_counts(wide: DataFrame, keys: Sequence[str], *, complete: bool = False) -> DataFrame:
+    """The indicators from a row per period with ``x3``, ``x4``, ``y3``, ``y4`` and all forms ``n``."""
+    kept = _kept(complete)
     good = sum(
         (F.when(kept[r], F.col(f"x{r}") + F.col(f"y{r}")).otherwise(0) for r in (4,)),
         F.when(kept[3], F.col("x3") + F.col("y3")).otherwise(0),
@@ -240,14 +267,17 @@ def sector_form_counts(
 ) -> DataFrame:
     """Forms per sector and period; ambulatory forms count for the ambulatory sector.
 
-    Every period of the general form has an ambulatory row, with 0 if need be; those rows are added
-    to the counts, not to the forms.
+    Every period has an ambulatory row, with 0 if need be; those rows are added to the counts, not to
+    the forms, and no task gathers a period's sectors.
     """
-    rows = general.select(*keys, informed_sector(F.col("setor")).alias("setor")).unionByName(
-        ambulatory.select(*keys, F.lit(fv.SECTOR_AMBULATORY).alias("setor")))
-    counts = rows.groupBy(*keys, "setor").agg(F.count("*").alias("qtde"))
-    # The counts of a period are few: its sectors.
-    listed = counts.groupBy(*keys).agg(F.collect_list(F.struct("setor", "qtde")).alias("s"))
-    zero = F.array(F.struct(F.lit(fv.SECTOR_AMBULATORY).alias("setor"), F.lit(0).cast("long").alias("qtde")))
-    known = F.exists("s", lambda x: x["setor"] == fv.SECTOR_AMBULATORY)
-    return listed.select(*keys, F.inline(F.when(known, F.col("s")).otherwise(F.concat("s", zero))))
+    n = F.lit(1).cast("long").alias("n")
+    rows = general.select(*keys, informed_sector(F.col("setor")).alias("setor"), n).unionByName(
+        ambulatory.select(*keys, F.lit(fv.SECTOR_AMBULATORY).alias("setor"), n))
+    return sectors_of_counts(rows, keys)
+
+
+def sectors_of_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Forms per sector from rows that stand for ``n`` forms each."""
+    counts = rows.groupBy(*keys, "setor").agg(F.sum("n").alias("qtde"))
+    zeros = counts.select(*keys, F.lit(fv.SECTOR_AMBULATORY).alias("setor"), F.lit(0).cast("long").alias("qtde"))
+    return counts.unionAll(zeros.distinct()).groupBy(*keys, "setor").agg(F.sum("qtde").alias("qtde"))

@@ -39,6 +39,12 @@ def measure_summary(
     means = both.groupBy(*keys).agg(
         *(exact_mean(F.col(c), MEAN_DENOMINATOR).alias(c) for c in (*blocks, "m"))
     )
+    return measures_of_means(means, keys)
+
+
+def measures_of_means(means: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The measures from the means of a period, in one row."""
+    blocks = [f"m_{b}" for b in fv.BLOCK_SIZES]
     means = means.select(*keys, *((F.col(c) * 100 / 4).alias(c) for c in (*blocks, "m")))
     values = [*(F.col(c) for c in (*blocks, "m")), row_mean([*blocks, "m"])]
     measures = F.array(
@@ -90,14 +96,23 @@ def composite_satisfaction(
 
 
 def satisfaction_by_period(
-    composite: DataFrame, keys: Sequence[str] = ("PERIODO",), *, strict_nulls: bool = False
+    composite: DataFrame, keys: Sequence[str] = ("PERIODO",), *, strict_nulls: bool = False,
+    approx_accuracy: int | None = None,
 ) -> DataFrame:
     """Forms, sum, mean and median of the composite per period.
 
+    With ``approx_accuracy`` the median is a value of the period whose rank is off by no more than
+    ``n / approx_accuracy`` of its n answered forms: each task keeps a sketch of that many entries a
+    period and sketches are merged, so that composites of any number of different values, which the
+    exact way would count one by one, take one row per task and period. It is the lower of two middle
+    values where the exact median is their mean.
+
     Missing composites are ignored, or with ``strict_nulls`` make the whole period missing. Forms
     are first counted per value, by a plain hash aggregate: composites take a few hundred values at
     most, so the statistics of a period, its exact median among them, come from few rows.
     """
+    if approx_accuracy is not None:
+        return _sketched_satisfaction(composite, keys, strict_nulls, approx_accuracy)
     counts = composite.groupBy(*keys, "SATISFACAO").agg(F.count("*").alias("__n"))
     value, n = F.col("SATISFACAO"), F.col("__n")
     answered = F.sum(F.when(value.isNotNull(), n))
@@ -115,6 +130,23 @@ def satisfaction_by_period(
     )
 
 
+def _sketched_satisfaction(
+    composite: DataFrame, keys: Sequence[str], strict_nulls: bool, accuracy: int
+) -> DataFrame:
+    value = F.col("SATISFACAO")
+    units = F.sum(F.rint(value * F.lit(float(COMPOSITE_DENOMINATOR))).cast("long"))
+    stats = {
+        "TOTAL_SATISFACAO": units / F.lit(float(COMPOSITE_DENOMINATOR)),
+        "MEDIA": units / (F.count(value) * F.lit(COMPOSITE_DENOMINATOR)),
+        "MEDIANA": F.percentile_approx(value, 0.5, accuracy),
+    }
+    if strict_nulls:
+        stats = {name: F.when(F.count(value) == F.count("*"), stat) for name, stat in stats.items()}
+    stats["MEDIA"] = F.when(F.count(value) > 0, stats["MEDIA"])
+    return composite.groupBy(*keys).agg(
+        F.count("*").alias("QTDE"), *(stat.alias(name) for name, stat in stats.items()))
+
+
 def satisfaction_table_for_year(
     composite: DataFrame, year: int, keys: Sequence[str] = ()
 ) -> DataFrame:

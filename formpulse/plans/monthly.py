@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from formpulse import fixed_values as fv
-from formpulse.operators import attendants, comments, ratings, satisfaction
+from formpulse.operators import attendants, comments, ratings
+from formpulse.operators.counters import counted_reports, form_counters
 from formpulse.operators.keys import CONSOLIDATION
 from formpulse.operators.periods import filter_period, validate_period_args
 from formpulse.session import tune
@@ -20,19 +21,26 @@ from formpulse.sources.sinks import (
 CSV_REPORTS = ("comentarios", "atendentes")
 
 
-def monthly_tables(general: DataFrame, ambulatory: DataFrame) -> dict[str, DataFrame]:
-    """Every report of the consolidation as a lazy frame with the period as leading columns."""
+#: Reports that follow from the counters of a run.
+COUNTED = ("medidas", "avaliacoes", "setores", "indicadores")
+
+
+def monthly_tables(
+    general: DataFrame, ambulatory: DataFrame, counters: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Every report of the consolidation as a lazy frame with the period as leading columns.
+
+    ``counters`` are those of :func:`form_counters`; written once, they spare their reports the forms.
+    """
+    counted = counted_reports(form_counters(general, ambulatory) if counters is None else counters)
     return {
-        "medidas": satisfaction.measure_summary(general, ambulatory),
-        "avaliacoes": ratings.rating_distribution(general, ambulatory),
+        **{name: counted[name] for name in COUNTED},
         "avaliacoes_por_questao": ratings.rating_by_question(general),
         "avaliacoes_ambulatorio": ratings.rating_by_question(ambulatory, fv.AMBULATORY_QUESTIONS),
-        "setores": ratings.sector_form_counts(general, ambulatory),
         "comentarios": comments.extract_comments(general, ambulatory),
         "comentarios_distintos": comments.extract_comments_distinct(general, ambulatory),
         "atendentes": attendants.attendant_ranking(ambulatory),
         "atendentes_fim_de_ano": attendants.attendant_ratings_trimmed(ambulatory),
-        "indicadores": ratings.good_or_excellent_indicator(general, ambulatory),
     }
 
 
@@ -45,16 +53,21 @@ def run_monthly(
     period: tuple[int, str] | None = None,
     min_year: int | None = fv.GENERAL_MIN_YEAR,
     keep_undated: bool = False,
+    general_layout: str | None = "general46",
+    ambulatory_layout: str | None = "ambulatory13",
 ) -> dict[str, str]:
     """Import both exports, keep them as clean parquet, and write every report under ``out``.
 
-    The text is parsed once; each report then scans only its columns. With ``period`` only that
+    The text is parsed once. One scan of each form gives the counters of a period (``contadores``), from
+    which four reports follow; the others scan only their columns. Layouts are those of
+    :func:`load_survey_bundle`, None for folders with several. With ``period`` only that
     period is cleaned, reported and replaced; all others stay as earlier runs left them. Malformed
     records are kept in ``rejects``, and every run adds to ``log``. Returns the path of each table.
     """
     tune(spark)
     bundle = load_survey_bundle(
-        spark, general_path, ambulatory_path, min_year=min_year, keep_undated=keep_undated)
+        spark, general_path, ambulatory_path, min_year=min_year, keep_undated=keep_undated,
+        general_layout=general_layout, ambulatory_layout=ambulatory_layout)
     wanted = None if period is None else validate_period_args(*period)
     mode = "overwrite" if wanted is None else "periods"
     forms = {}
@@ -68,7 +81,13 @@ def run_monthly(
     paths = {"rejects": f"{out}/rejects", "log": f"{out}/log"}
     bundle["rejects"].write.mode("overwrite").json(paths["rejects"])
     write_audit(bundle["log"], paths["log"])
-    for name, table in monthly_tables(forms["p1"], forms["p2"]).items():
+    paths["contadores"] = f"{out}/contadores"
+    counters = form_counters(forms["p1"], forms["p2"])
+    write_period_stats(counters, paths["contadores"], keys=CONSOLIDATION, mode=mode)
+    counters = spark.read.schema(counters.schema).parquet(paths["contadores"])
+    if wanted is not None:
+        counters = filter_period(counters, *wanted)
+    for name, table in monthly_tables(forms["p1"], forms["p2"], counters).items():
         paths[name] = f"{out}/{name}"
         if name in CSV_REPORTS:
             keys = (*CONSOLIDATION, "kind") if name == "comentarios" else CONSOLIDATION

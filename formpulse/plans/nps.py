@@ -14,12 +14,12 @@ def nps_tables(
 ) -> dict[str, DataFrame]:
     """Row-level and consolidated NPS frames, and the composition of one quarter or of all.
 
-    Without a calendar the one that covers the forms is made.
+    Without a calendar each table has the one that covers its forms, made in its own plan.
     """
     rows = nps.nps_rows(general, ambulatory)
-    calendar = calendar_of(general, ambulatory) if calendar is None else calendar
+    covering = calendar_of(general, ambulatory) if calendar is None else calendar
     return {
-        "df": join_calendar(rows, calendar),
+        "df": join_calendar(rows, covering),
         "consolidado": nps.nps_by_period_origin(rows, calendar),
         "composicao": nps.nps_composition(rows, calendar, quarter),
         "total_por_trimestre": nps.nps_quarter_total(rows, calendar),

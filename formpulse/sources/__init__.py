@@ -2,7 +2,12 @@
 
 from formpulse.sources.audit import ingest_audit, write_audit  # noqa: F401
 from formpulse.sources.bundle import load_survey_bundle, survey_bundle  # noqa: F401
-from formpulse.sources.csv import layout_schema, read_survey_csv, rename_positional  # noqa: F401
+from formpulse.sources.csv import (  # noqa: F401
+    layout_schema,
+    read_mixed_csv,
+    read_survey_csv,
+    rename_positional,
+)
 from formpulse.sources.normalize import (  # noqa: F401
     clean_manifestations,
     fill_missing_dash,

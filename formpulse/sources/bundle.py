@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formpulse import fixed_values as fv
 from formpulse.sources.audit import ingest_audit
-from formpulse.sources.csv import MALFORMED, read_survey_csv, split_malformed
+from formpulse.sources.csv import MALFORMED, read_mixed_csv, read_survey_csv, split_malformed
 from formpulse.sources.normalize import normalize_ambulatory, normalize_general
 
 BLOCK_MEAN_COLUMNS = (*(f"m_{b}" for b in fv.BLOCK_SIZES), "m_x")
@@ -50,8 +52,8 @@ def load_survey_bundle(
     general_path: str,
     ambulatory_path: str,
     *,
-    general_layout: str = "general46",
-    ambulatory_layout: str = "ambulatory13",
+    general_layout: str | None = "general46",
+    ambulatory_layout: str | None = "ambulatory13",
     null_tokens: str = "na_only",
     min_year: int | None = fv.GENERAL_MIN_YEAR,
     keep_undated: bool = False,
@@ -59,7 +61,8 @@ def load_survey_bundle(
     """Read and normalise both forms; nothing runs until a frame is used.
 
     Records with another number of columns are in ``rejects`` (form, first column, record), and
-    ``log`` counts both forms' rows, rejects and what the year limit leaves out.
+    ``log`` counts both forms' rows, rejects and what the year limit leaves out. A layout of None takes
+    that of each file's own header, for folders that hold older and newer exports.
     """
     raws = {
         "general": (general_path, general_layout),
@@ -67,8 +70,8 @@ def load_survey_bundle(
     }
     good, rejects, log = {}, None, None
     for form, (path, layout) in raws.items():
-        raw = read_survey_csv(
-            spark, path, layout, null_tokens=null_tokens, malformed_column=MALFORMED)
+        read = partial(read_mixed_csv, prefix=form) if layout is None else partial(read_survey_csv, layout=layout)
+        raw = read(spark, path, null_tokens=null_tokens, malformed_column=MALFORMED)
         good[form], bad = split_malformed(raw)
         bad = bad.select(F.lit(form).alias("formulario"), "*")
         counted = ingest_audit(

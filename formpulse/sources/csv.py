@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +88,49 @@ def rename_positional(df: DataFrame, layout: str) -> DataFrame:
     return df.toDF(*names)
 
 
+def header_arities(spark: SparkSession, path: str | list[str]) -> dict[str, int]:
+    """The number of columns in the header of every file of a folder.
+
+    One distributed pass over the files' lines, unparsed, keeps the first of each; the list of files,
+    which Spark holds on the driver for any scan, is what comes back. Quoted commas do not count. A
+    header must stand on one line.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    # Lines of a file that lie in its first block come in order.
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    plain = F.regexp_replace("header", '"([^"]|"")*"', "")
+    arity = F.length(plain) - F.length(F.replace(plain, F.lit(","))) + 1
+    return {unquote(r["file"]): r["n"] for r in first.select("file", arity.alias("n")).collect()}
+
+
+def read_mixed_csv(
+    spark: SparkSession, path: str | list[str], prefix: str, *, malformed_column: str | None = None, **options,
+) -> DataFrame:
+    """Exports of one form family in several layouts, each file read by that of its own header.
+
+    The columns are those of the family's widest layout; what a file's layout does not have is null.
+    Files whose header fits no layout stop the run, or with ``malformed_column`` go there whole, as
+    their records are read by the widest. Options are those of :func:`read_survey_csv`.
+    """
+    layouts = {len(names): layout for layout, names in fv.LAYOUTS.items() if layout.startswith(prefix)}
+    widest = layouts[max(layouts)]
+    files: dict[str, list[str]] = {}
+    for file, arity in sorted(header_arities(spark, path).items()):
+        if arity not in layouts and malformed_column is None:
+            layout_by_arity(prefix, arity)
+        files.setdefault(layouts.get(arity, widest), []).append(file)
+    if not files:
+        return read_survey_csv(spark, path, widest, malformed_column=malformed_column, **options)
+    columns = layout_schema(widest, malformed_column).names
+    parts = [read_survey_csv(spark, group, layout, malformed_column=malformed_column, **options)
+             for layout, group in files.items()]
+    return reduce(lambda a, b: a.unionByName(b), (
+        part.select(*(F.col(c) if c in part.columns else F.lit(None).cast("string").alias(c) for c in columns))
+        for part in parts))
+
+
 def header_layout(spark: SparkSession, path: str | list[str], prefix: str) -> str:
     """Layout of a form family by the width of the header line of an export."""
     first = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)

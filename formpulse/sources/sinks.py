@@ -6,6 +6,7 @@ holds most of the data is still split over many tasks and files.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,18 +23,33 @@ CSV_OPTIONS = {
 }
 
 
+#: The leading folder of tables whose appends carry the id of their run.
+RUN = "run_id"
+
+
 def write_raw_snapshot(
-    df: DataFrame, path: str, *, ingest_date: str | None = None, mode: str = "append"
+    df: DataFrame, path: str, *, ingest_date: str | None = None, mode: str = "append",
+    run_id: str | None = None,
 ) -> None:
-    """Keep the unmodified input as CSV, one folder per ingest date (today if not given)."""
+    """Keep the unmodified input as CSV, one folder per ingest date (today if not given).
+
+    With ``run_id`` a repeated call replaces what the run wrote before; see
+    :func:`write_clean_parquet`. Without, it adds its rows again.
+    """
     day = F.lit(ingest_date).cast("date") if ingest_date else F.current_date()
-    (
-        df.withColumn("ingest_date", day)
-        .write.mode(mode)
-        .partitionBy("ingest_date")
-        .options(**CSV_OPTIONS)
-        .csv(path)
-    )
+    dated = df.withColumn("ingest_date", day)
+    if run_id is None:
+        dated.write.mode(mode).partitionBy("ingest_date").options(**CSV_OPTIONS).csv(path)
+    else:
+        writer = dated.write.mode("overwrite").partitionBy("ingest_date")
+        writer.options(**CSV_OPTIONS).csv(run_folder(path, run_id))
+
+
+def run_folder(path: str, run_id: str) -> str:
+    """Where the rows of one run lie. Ids are letters, digits, dots, dashes and underscores."""
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", run_id):
+        raise ValueError(f"not the id of a run: {run_id!r}")
+    return f"{path}/{RUN}={run_id}"
 
 
 def _writer(df: DataFrame, keys: Sequence[str], mode: str):
@@ -46,14 +62,20 @@ def _writer(df: DataFrame, keys: Sequence[str], mode: str):
 
 
 def write_clean_parquet(
-    df: DataFrame, path: str, *, keys: Sequence[str] = PERIOD_KEYS, mode: str = "append"
+    df: DataFrame, path: str, *, keys: Sequence[str] = PERIOD_KEYS, mode: str = "append",
+    run_id: str | None = None,
 ) -> None:
     """Write clean rows as parquet in one folder per period, so that reports prune by period.
 
     The default appends, so a call that is repeated by hand doubles its rows; ``mode="periods"``
-    replaces the periods at hand and ``overwrite`` the whole table.
+    replaces the periods at hand and ``overwrite`` the whole table. With ``run_id`` the rows go to a
+    folder of that run, which a repeated call overwrites whole: it appends once, however often it is
+    made, also where a repetition has fewer periods. A table has either runs or plain appends.
     """
-    _writer(df, keys, mode).parquet(path)
+    if run_id is None:
+        _writer(df, keys, mode).parquet(path)
+    else:
+        _writer(df, keys, "overwrite").parquet(run_folder(path, run_id))
 
 
 def read_clean_parquet(
@@ -61,7 +83,7 @@ def read_clean_parquet(
 ) -> DataFrame:
     """Read clean rows back, in the given column order if any; with a schema also an empty table."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    df = reader.parquet(path)
+    df = reader.parquet(path).drop(RUN)
     return df.select(*columns) if columns else df
 
 
