@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formpulse import fixed_values as fv
@@ -27,39 +27,44 @@ def _labelled(months: DataFrame) -> DataFrame:
     year = (F.col("id") / 12).cast("int")
     ordinal = (F.col("id") % 12 + 1).cast("int")
     base = months.select(year.alias("ANO"), ordinal.alias("MES_ORDINAL"))
+    labels = month_labels(F.col("ANO"), F.col("MES_ORDINAL"))
+    return base.select("ANO", labels.pop("MES").alias("MES"), labels.pop("MES_CURTO").alias("MES_CURTO"),
+                       "MES_ORDINAL", *(label.alias(name) for name, label in labels.items()))
+
+
+def month_labels(year: Column, ordinal: Column) -> dict[str, Column]:
+    """The labels of a month, by their names in the calendar; null for an unknown year or month."""
+    known = F.when(year.isNotNull(), ordinal)
 
     def part(size: int):
-        return F.ceil(F.col("MES_ORDINAL") / size).cast("string")
-
-    name, short = (month_name(F.col("MES_ORDINAL"), short=s) for s in (False, True))
-    year_text = F.col("ANO").cast("string")
-    return base.select(
-        "ANO",
-        name.alias("MES"),
-        short.alias("MES_CURTO"),
-        "MES_ORDINAL",
-        F.concat(part(6), F.lit(fv.SEMESTER_SUFFIX)).alias("SEMESTRE"),
-        F.concat(year_text, F.lit(".Q"), part(3)).alias("ID_TRIMESTRE"),
-        F.concat(part(3), F.lit(fv.QUARTER_SUFFIX)).alias("TRIMESTRE"),
-        F.concat(part(2), F.lit(fv.BIMESTER_SUFFIX)).alias("BIMESTRE"),
-        F.concat(year_text, F.lit("/"), name).alias("PERIODO"),
-        F.concat(short, F.lit("/"), year_text).alias("PERIODO_CURTO"),
-    )
+        return F.ceil(known / size).cast("string")
+
+    name, short = (month_name(known, short=s) for s in (False, True))
+    year_text = year.cast("string")
+    return {
+        "MES": name,
+        "MES_CURTO": short,
+        "SEMESTRE": F.concat(part(6), F.lit(fv.SEMESTER_SUFFIX)),
+        "ID_TRIMESTRE": F.concat(year_text, F.lit(".Q"), part(3)),
+        "TRIMESTRE": F.concat(part(3), F.lit(fv.QUARTER_SUFFIX)),
+        "BIMESTRE": F.concat(part(2), F.lit(fv.BIMESTER_SUFFIX)),
+        "PERIODO": F.concat(year_text, F.lit("/"), name),
+        "PERIODO_CURTO": F.concat(short, F.lit("/"), year_text),
+    }
 
 
 def calendar_of(*forms: DataFrame, year: str = "ano_consolidacao") -> DataFrame:
     """The calendar of all years in which there are forms, and up to the current one.
 
     Its bounds are part of the plan: an aggregate of one row, from which the months are generated, so
-    that nothing runs before a report does. Given counts per month instead of forms, a report that
-    also counts them scans its forms once, as both use the same shuffle.
+    that nothing runs before a report does.
     """
     years = [f.select(F.col(year).cast("int").alias("y")) for f in forms]
     this_year = F.year(F.current_date())
     bounds = reduce(DataFrame.unionAll, years).agg(
         F.least(F.min("y"), this_year).alias("first"), F.greatest(F.max("y"), this_year).alias("last"))
-    months = F.sequence(F.col("first") * 12, F.col("last") * 12 + 11)
-    return _labelled(bounds.select(F.explode(months).cast("long").alias("id")))
+    months = F.sequence(F.col("first").cast("long") * 12, F.col("last").cast("long") * 12 + 11)
+    return _labelled(bounds.select(F.explode(months).alias("id")))
 
 
 def join_calendar(

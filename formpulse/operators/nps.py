@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from formpulse import fixed_values as fv
 from formpulse.functions import dates, nps
 from formpulse.functions.numbers import count_when, half_even, percent_label, share
-from formpulse.operators.calendar import calendar_of, join_calendar
+from formpulse.operators.calendar import join_calendar, month_labels
 from formpulse.operators.keys import CONSOLIDATION, PERIOD
 from formpulse.operators.periods import drop_null_score, filter_month_in, filter_year
 from formpulse.operators.reshape import dcast, union_forms
@@ -93,9 +93,13 @@ def _monthly_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _on_calendar(rows: DataFrame, calendar: DataFrame | None, keys: Sequence[str]) -> DataFrame:
-    """Monthly counts with the calendar's labels; without a calendar that of the counted years."""
+    """Monthly counts with the calendar's labels. Without a calendar every month of every year has
+    them, worked out from its own year and name, so that no calendar need be made or joined."""
     counts = _monthly_counts(rows, keys)
-    return join_calendar(counts, calendar_of(counts, year="ANO") if calendar is None else calendar)
+    if calendar is not None:
+        return join_calendar(counts, calendar)
+    labels = month_labels(F.col("ANO"), dates.month_ordinal(F.col("MES")))
+    return counts.withColumns({name: labels[name] for name in ("ID_TRIMESTRE", "PERIODO_CURTO")})
 
 
 def nps_by_period_origin(

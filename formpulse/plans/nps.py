@@ -14,7 +14,8 @@ def nps_tables(
 ) -> dict[str, DataFrame]:
     """Row-level and consolidated NPS frames, and the composition of one quarter or of all.
 
-    Without a calendar each table has the one that covers its forms, made in its own plan.
+    Without a calendar the rows get the one that covers the forms, made in their own plan, and the counts
+    work out their labels; nothing runs before a table is used.
     """
     rows = nps.nps_rows(general, ambulatory)
     covering = calendar_of(general, ambulatory) if calendar is None else calendar
