@@ -8,9 +8,10 @@ its first line (by document key and line number) stays, the others are dropped.
 
 Equal lines are reduced to one before they meet, so a line that millions of documents hold is one
 entry with a count. Lines alone in their leaf need no comparison and their text is never moved.
-Larger leaves are parsed in blocks of bounded size, and the blocks' templates are parsed once more
-together, in blocks that lie the other way. Counts of equal lines are exact whatever the blocks are:
-a line equal to lines of enough documents is always found.
+Larger leaves are parsed in blocks of bounded size. The blocks' templates then look for partners among
+all of their leaf by equal segments of places, which no pair that agrees well enough can lack, and join
+them round by round until no template has a partner left. So a family of lines is found whatever the
+size of its leaf and the place of its variable words.
 """
 
 from __future__ import annotations
@@ -150,7 +151,8 @@ def _parsed(entries: DataFrame, similar: float) -> DataFrame:
         "task", "leaf", "entry").mapInArrow(batches, "leaf bigint, entry bigint, group bigint, words string")
 
 
-def templates(lines: DataFrame, docs: DataFrame, similar: float = SIMILAR, block: int = BLOCK) -> DataFrame:
+def templates(lines: DataFrame, docs: DataFrame, similar: float = SIMILAR, block: int = BLOCK,
+              depth: int = DEPTH) -> DataFrame:
     """leaf, entry, template: the entries whose template is not their own words alone."""
     entries = stored(lines.groupBy("leaf", "entry").agg(F.min(F.struct("key", "row", "line")).alias("first")), "entries")
     shared = entries.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
@@ -160,18 +162,114 @@ def templates(lines: DataFrame, docs: DataFrame, similar: float = SIMILAR, block
     sized = texts.join(wanted.select("leaf", "entry", "blocks"), ["leaf", "entry"])
     dealt = sized.withColumn("task", F.xxhash64("leaf", F.pmod(F.xxhash64("entry"), "blocks")))
     first = stored(_parsed(dealt, similar), "templates")
-    # Leaves of several blocks: their templates meet again, near ones by text.
+    # Templates of leaves of several blocks meet those of other blocks.
     many = wanted.where("blocks > 1").select("leaf").distinct()
-    again = first.join(many, "leaf", "left_semi").select("leaf", F.col("group").alias("entry"), "words").distinct()
-    left = again.groupBy("leaf").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    ends = F.xxhash64(F.element_at(F.split("words", " "), -1))
-    second = _parsed(again.join(left, "leaf").withColumn(
-        "task", F.xxhash64("leaf", F.pmod(ends, "blocks"))), similar)
-    second = second.select("leaf", F.col("entry").alias("group"), F.col("group").alias("joined"))
-    return first.join(second, ["leaf", "group"], "left").select(
+    again = first.join(many, "leaf", "left_semi").select("leaf", F.col("group").alias("name"), "words").distinct()
+    joined = _met(stored(again, "block-templates"), similar, block, depth)
+    return first.join(joined.withColumnRenamed("name", "group"), ["leaf", "group"], "left").select(
         "leaf", "entry", F.coalesce("joined", "group").alias("template")).where("template <> entry")
 
 
+def _buckets(met: DataFrame, similar: float, block: int, depth: int) -> DataFrame:
+    """task, leaf, name, words: templates that may agree in the wanted share of places share a bucket.
+
+    Templates of n words that differ in d places at most, cut into d + 1 segments behind the words that
+    all of a leaf have in common, are equal in one segment. A bucket of a segment that holds more than
+    ``block`` templates is cut again in the same way by the places that are left, and so on. Where no
+    more than d places are left all templates of a bucket agree well enough, and it may be dealt out at
+    will: there are fewer parts than templates, so some of them meet, and the rest in later rounds.
+    """
+    block = max(block, 2)
+    n = F.size(F.split("words", " "))
+    cut = met.select(
+        "leaf", "name", "words", (n - F.ceil(n * similar - 1e-9) + 1).cast("int").alias("s"),
+        F.xxhash64("leaf").alias("bucket"), F.slice(F.split("words", " "), depth + 1, F.greatest(n - depth, F.lit(1))).alias("rest"))
+    done = None
+    while True:
+        # Each level a table of its own, since the sizes of its buckets decide on the next.
+        size = F.size("rest")
+        segment = F.posexplode(F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda i: F.struct(
+            F.floor(i * size / F.col("s")).cast("int").alias("a"), F.floor((i + 1) * size / F.col("s")).cast("int").alias("b"))))
+        parts = cut.select("leaf", "name", "words", "s", "bucket", "rest", segment.alias("i", "at"))
+        a, b = F.col("at.a"), F.col("at.b")
+        cut = parts.select(
+            "leaf", "name", "words", "s", F.xxhash64("bucket", "i", F.slice("rest", a + 1, b - a)).alias("bucket"),
+            F.concat(F.slice("rest", F.lit(1), a), F.slice("rest", b + 1, F.size("rest"))).alias("rest"))
+        sizes = cut.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        cut = stored(cut.join(sizes, "bucket"), "segments")
+        again = (F.col("n") > block) & (F.size("rest") >= F.col("s"))
+        part = F.pmod(F.xxhash64("name"), F.ceil(F.col("n") / block))
+        ready = cut.where(~again).select(F.xxhash64("bucket", part).alias("task"), "leaf", "name", "words")
+        done = ready if done is None else done.unionAll(ready)
+        cut = cut.where(again).drop("n")
+        if cut.isEmpty():
+            return done
+
+
+def _leaders(dealt: DataFrame, similar: float) -> DataFrame:
+    """leaf, name, leader: in each bucket, templates that join the group of one with a smaller name."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(leaf_: int, names: list[int], lines: list[list[bytes]]) -> pa.RecordBatch:
+            groups, _ = parse(lines, similar)
+            leader: dict[int, int] = {}
+            for name, group in zip(names, groups, strict=True):
+                leader.setdefault(group, name)
+            pairs = [(name, leader[group]) for name, group in zip(names, groups, strict=True) if leader[group] != name]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([leaf_] * len(pairs), pa.int64()), pa.array([x for x, _ in pairs], pa.int64()),
+                 pa.array([y for _, y in pairs], pa.int64())], ["leaf", "name", "leader"])
+
+        now, names, lines = None, [], []
+        for batch in rows:
+            for task, leaf_, name, words in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (task, leaf_) != now:
+                    if names:
+                        yield one(now[1], names, lines)
+                    now, names, lines = (task, leaf_), [], []
+                names.append(name)
+                lines.append(words.encode("utf-8", "surrogatepass").split(b" "))
+        if names:
+            yield one(now[1], names, lines)
+
+    return dealt.repartition(spread(dealt), "task").sortWithinPartitions("task", "leaf", "name").mapInArrow(
+        batches, "leaf bigint, name bigint, leader bigint")
+
+
+def _met(met: DataFrame, similar: float, block: int, depth: int) -> DataFrame:
+    """leaf, name, joined: what template each of the blocks' templates ends up in.
+
+    Round by round each template joins the one with the smallest name that a bucket offers, if that does
+    not itself join another in this round; joined templates keep the words that all of them have. It ends
+    when no bucket offers anything; the smallest name of every offer joins nobody, so each round has
+    fewer templates.
+    """
+    joined = met.select("leaf", "name", F.col("name").alias("joined"))
+    while True:
+        offers = _leaders(_buckets(met, similar, block, depth), similar)
+        chosen = stored(offers.groupBy("leaf", "name").agg(F.min("leader").alias("leader")), "offers")
+        if chosen.isEmpty():
+            return joined
+        busy = chosen.select("leaf", F.col("name").alias("leader"))
+        moves = chosen.join(busy, ["leaf", "leader"], "left_anti")
+        places = met.join(moves, ["leaf", "name"], "left").withColumn("to", F.coalesce("leader", "name"))
+        moved = stored(places.select("leaf", "name", "to", "words"), "moves")
+        # Words that all have, place by place, so that no task holds all templates of a large group.
+        grown = moved.where(F.col("name") != F.col("to")).select("leaf", "to").distinct()
+        words = moved.join(grown, ["leaf", "to"], "left_semi").select(
+            "leaf", "to", F.posexplode(F.split("words", " ")).alias("place", "word"))
+        common = words.groupBy("leaf", "to", "place").agg(F.min("word").alias("one"), F.max("word").alias("other")).select(
+            "leaf", "to", F.struct("place", F.when(F.col("one") == F.col("other"), F.col("one")).otherwise(
+                F.lit(WILD.decode())).alias("word")).alias("at"))
+        merged = common.groupBy("leaf", "to").agg(F.array_join(F.transform(
+            F.sort_array(F.collect_list("at")), lambda x: x["word"]), " ").alias("words"))
+        same = moved.join(grown, ["leaf", "to"], "left_anti").select("leaf", "name", "words")
+        met = stored(same.unionAll(merged.select("leaf", F.col("to").alias("name"), "words")), "block-templates")
+        steps = moved.where(F.col("name") != F.col("to")).select("leaf", F.col("name").alias("joined"), "to")
+        joined = stored(joined.join(steps, ["leaf", "joined"], "left").select(
+            "leaf", "name", F.coalesce("to", "joined").alias("joined")), "joined")
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", depth: int = DEPTH, similar: float = SIMILAR,
                 least: int = LEAST_WORDS, documents: int = DOCUMENTS, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` with __dropped, the sorted numbers (0 based) of the lines to leave out.
@@ -185,7 +283,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", depth: int = DEPTH, simila
     rows = docs.withColumn("__key", F.col(key))
     lines = stored(_lines(rows, depth, least), "lines")
     own = lines.withColumn("template", F.col("entry"))
-    found = templates(lines, rows, similar, block)
+    found = templates(lines, rows, similar, block, depth)
     named = stored(own.drop("template").join(found, ["leaf", "entry"], "left").select(
         "row", "key", "line", "leaf", F.coalesce("template", "entry").alias("template")), "line-templates")
     per_row = named.groupBy("leaf", "template", "row").agg(F.min(F.struct("key", "row", "line")).alias("at"))
