@@ -2,18 +2,26 @@
 
 Each text gives a vector of transformed statistics: log of the mean word length, and angles
 (arcsine of the root) of the shares of symbols, capitals, repeated words and repeated lines. For each
-model (a language and source; see ``models``) a minimum-covariance-determinant estimate is found by
-concentration: from medians and quartiles on, the h = 3/4 of the documents nearest to the centre
-give the next centre and covariance. Documents whose Mahalanobis distance from the last estimate
-exceeds the cut are rejected.
+model (a language and source; see ``models``) the minimum covariance determinant is sought: of all
+subsets of h = (n + 6) / 2 documents, that whose covariance has the least determinant. Concentration
+goes from one estimate to the mean and covariance of the h documents nearest to it, which never
+raises the determinant. It starts from twelve centres a model: shortest-half centres, medians, and
+each statistic at its lower and upper quartile. After two steps the three least determinants go on
+until theirs no longer falls. The least is reweighted once: mean and covariance of the documents within
+the 0.975 quantile of chi-square. Documents beyond the cut from that estimate are rejected.
+
+Covariances of a subset are scaled to those of a normal sample, and constant floors are added to their
+variances (a regularised determinant: most sources have no symbols and no repeats at all).
 
 The statistics are whole multiples of 1/4096, so moments are exact integers and the result does not
-depend on how the rows are spread. A step reads the narrow table of statistics once: rows are summed
-by model and distance class, and the h-subset is the nearest classes that hold h documents.
+depend on how the rows are spread. A step reads the narrow table of statistics once for all models and
+starts: rows are summed by model, start and distance class; the nearest classes and the fitting
+fraction of the next make up h documents.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,18 +33,52 @@ UNIT = 4096
 NAMES = ("word_length", "symbols", "capitals", "repeats", "lines")
 D = len(NAMES)
 #: Deviation below which a statistic is never held against a text, added to each estimate's
-#: variances: most sources have no symbols and no repeats at all.
+#: variances.
 FLOORS = (0.08, 0.04, 0.08, 0.12, 0.15)
-#: 3/4 of a normal sample hold this fraction of its variance (five dimensions): q = 6.6257 is the
-#: 0.75 quantile of chi-square 5, and P(chi-square 7 <= q) / 0.75 = 0.708.
-SHRUNK = 0.708
-#: Squared distance from which a text is rejected.
-CUT = 52.0
-STEPS = 4
-#: Rows that a model needs at least; sources with fewer are pooled.
+#: Starts of a model that go on after two steps.
+BEST = 3
+#: Steps at most. Ten or so are needed; the determinant of an estimate cut off here is still valid.
+STEPS = 40
+#: Rows that a model needs at least; sources with fewer are pooled. Where all that is left is still
+#: fewer, the floors grow as the rows get fewer.
 LEAST = 60
-CLASSES = 700
+#: Distance classes of an octave of 1 + d2, and classes at most.
+OCTAVE, CLASSES = 32, 1400
 PAIRS = tuple(combinations_with_replacement(range(D), 2))
+#: Quantiles that the starts are made of, and how many steps of them the shortest half spans: eleven
+#: twentieths of a normal sample span 1.511 deviations.
+TWENTIETHS, HALF, SPANNED = 20, 11, 1.511
+
+
+def chi_square_tail(x: float, degrees: int) -> float:
+    """The chance of more than ``x``; ``degrees`` is odd."""
+    tail = math.erfc(math.sqrt(x / 2))
+    for j in range((degrees - 1) // 2):
+        tail += (x / 2) ** (j + 0.5) * math.exp(-x / 2) / math.gamma(j + 1.5)
+    return tail
+
+
+def chi_square_cut(tail: float, degrees: int = D) -> float:
+    """The value that is exceeded with chance ``tail``."""
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square_tail(middle, degrees) > tail else (low, middle)
+    return (low + high) / 2
+
+
+def shrunk(held: float) -> float:
+    """The fraction of its variance that the inner ``held`` of a normal sample keeps."""
+    return 1.0 if held >= 1 else (1 - chi_square_tail(chi_square_cut(1 - held), D + 2)) / held
+
+
+#: ``shrunk`` at 0.50, 0.55, ... 1.00, between which it is taken as straight.
+SHRUNK = tuple(shrunk(k / 20) for k in range(10, 21))
+#: Rows within this squared distance make the reweighted estimate.
+REWEIGHTED = 0.975
+#: A normal document lies beyond the cut once in a thousand million.
+TAIL = 1e-9
+CUT = chi_square_cut(TAIL)
 
 
 def statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -112,10 +154,10 @@ def models(rows: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def factors(estimates: DataFrame) -> DataFrame:
-    """model, m0.. (centre) and the cells l_i_j of the covariance's Cholesky factor.
+    """model, start, logdet, m_i (centre) and the cells l_i_j of the covariance's Cholesky factor.
 
-    ``estimates`` has model, m_i and c_i_j. The cells are computed one column after the other, on one
-    row per model.
+    ``estimates`` has model, start, m_i and c_i_j. The cells are computed one column after the other,
+    on one row per model and start.
     """
     out = estimates
     for i in range(D):
@@ -126,13 +168,15 @@ def factors(estimates: DataFrame) -> DataFrame:
             # The floors keep the matrix positive definite; rounding may take no more than this.
             cell = F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{j}_{j}")
             out = out.withColumn(f"l_{i}_{j}", cell)
-    return out.select("model", *(f"m_{i}" for i in range(D)),
+    logdet = sum((2 * F.log(f"l_{i}_{i}") for i in range(1, D)), 2 * F.log("l_0_0"))
+    return out.select("model", "start", logdet.alias("logdet"), *(f"m_{i}" for i in range(D)),
                       *(f"l_{i}_{j}" for i in range(D) for j in range(i + 1)))
 
 
 def with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """``rows`` with d2, the squared distance from their model's estimate (null without one)."""
-    out = rows.join(factors(estimates), "model", "left")
+    """``rows`` once for each estimate of their model, with start and d2, the squared distance from it
+    (both null without one)."""
+    out = rows.join(estimates, "model", "left")
     for i in range(D):
         rest = F.col(f"x{i}") / UNIT - F.col(f"m_{i}")
         for k in range(i):
@@ -141,61 +185,119 @@ def with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     d2 = F.col("y_0") * F.col("y_0")
     for i in range(1, D):
         d2 = d2 + F.col(f"y_{i}") * F.col(f"y_{i}")
-    return out.select(*rows.columns, d2.alias("d2"))
+    return out.select(*rows.columns, "start", d2.alias("d2"))
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians, and variances from quartiles; distinct values are bounded by the unit."""
-    quartiles = rows.groupBy("model").agg(*(
-        F.percentile(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{i}") for i in range(D)))
-    spread = {i: (F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / UNIT / 1.349 for i in range(D)}
-    return quartiles.select(
-        "model", *((F.col(f"q_{i}")[1] / UNIT).alias(f"m_{i}") for i in range(D)),
-        *((spread[i] * spread[i] + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in PAIRS))
+def _starts(rows: DataFrame) -> DataFrame:
+    """Twelve centres a model, all with the spread of the shortest halves; distinct values, which
+    the quantiles count, are bounded by the unit."""
+    at = F.array(*(F.lit(k / TWENTIETHS) for k in range(TWENTIETHS + 1)))
+    found = rows.groupBy("model").agg(*(F.percentile(f"x{i}", at).alias(f"q_{i}") for i in range(D)))
+    for i in range(D):
+        # The shortest stretch of eleven twentieths; of equal ones the lowest.
+        found = found.withColumn(f"h_{i}", F.expr(
+            f"array_min(transform(sequence(0, {TWENTIETHS - HALF}), k -> named_struct("
+            f"'width', q_{i}[k + {HALF}] - q_{i}[k], 'low', q_{i}[k])))"))
+    shortest = [F.col(f"h_{i}.low") + F.col(f"h_{i}.width") / 2 for i in range(D)]
+    quantile = lambda i, k: F.col(f"q_{i}")[k]
+    centres = [shortest, [quantile(i, TWENTIETHS // 2) for i in range(D)]]
+    centres += [[quantile(i, k) if i == j else shortest[i] for i in range(D)] for j in range(D) for k in (5, 15)]
+    starts = F.explode(F.array(*(F.struct(
+        F.lit(number).alias("start"), *((c / UNIT).alias(f"m_{i}") for i, c in enumerate(centre)))
+        for number, centre in enumerate(centres))))
+    spread = [F.col(f"h_{i}.width") / UNIT / SPANNED for i in range(D)]
+    cells = [(spread[i] * spread[i] + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in PAIRS]
+    return found.select("model", starts.alias("s"), *cells).select("model", "s.*", *(f"c_{i}_{j}" for i, j in PAIRS))
 
 
-def _concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """The mean and covariance of each model's nearest 3/4."""
-    near = F.least(F.lit(CLASSES), F.floor(16 * F.log2(1 + F.col("d2")))).cast("int")
-    sums = (
-        with_distance(rows, estimates).groupBy("model", near.alias("near"))
-        .agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s_{i}") for i in range(D)),
-             *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p_{i}_{j}") for i, j in PAIRS))
-    )
-    by_near = Window.partitionBy("model").orderBy("near").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("model")
-    inner = sums.withColumn("before", F.coalesce(F.sum("n").over(by_near), F.lit(0))).withColumn(
-        "total", F.sum("n").over(whole)).where(4 * F.col("before") < 3 * F.col("total"))
-    added = inner.groupBy("model").agg(*(F.sum(c).alias(c) for c in sums.columns[2:]), F.max("total").alias("total"))
-    # A subset that holds nearly all rows is shrunk less than one of 3/4.
-    held = F.col("n") / F.col("total")
-    shrunk = SHRUNK + (1 - SHRUNK) * (held - 0.75) / 0.25
+def _sums() -> list[Column]:
+    return [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s_{i}") for i in range(D)),
+            *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p_{i}_{j}") for i, j in PAIRS)]
+
+
+def _estimated(sums: DataFrame, kept_variance: Column) -> DataFrame:
+    """The estimates of summed subsets (n, s_i, p_i_j, and the model's total of rows)."""
     mean = {i: F.col(f"s_{i}") / F.col("n") / UNIT for i in range(D)}
-    cov = {(i, j): (F.col(f"p_{i}_{j}") / F.col("n") / UNIT / UNIT - mean[i] * mean[j]) / shrunk for i, j in PAIRS}
-    return added.select("model", *(mean[i].alias(f"m_{i}") for i in range(D)),
-                        *((cov[i, j] + FLOORS[i] ** 2 if i == j else cov[i, j]).alias(f"c_{i}_{j}") for i, j in PAIRS))
+    wider = F.greatest(F.lit(1.0), LEAST / F.col("total"))
+    cov = {(i, j): (F.col(f"p_{i}_{j}") / F.col("n") / UNIT / UNIT - mean[i] * mean[j]) / kept_variance for i, j in PAIRS}
+    return factors(sums.select(
+        "model", "start", *(mean[i].alias(f"m_{i}") for i in range(D)),
+        *((cov[i, j] + FLOORS[i] ** 2 * wider if i == j else cov[i, j]).alias(f"c_{i}_{j}") for i, j in PAIRS)))
+
+
+def _concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """The estimate of the h rows nearest to each estimate."""
+    near = F.least(F.lit(CLASSES), F.floor(OCTAVE * F.log2(1 + F.col("d2")))).cast("int")
+    sums = with_distance(rows, estimates).where("start IS NOT NULL").groupBy("model", "start", near.alias("near")).agg(*_sums())
+    own = Window.partitionBy("model", "start")
+    before = F.coalesce(F.sum("n").over(own.orderBy("near").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("before", before).withColumn("total", F.sum("n").over(own))
+    sums = sums.withColumn("h", F.least(F.col("total"), F.floor((F.col("total") + D + 1) / 2))).where("before < h")
+    # Whole classes are summed as integers; one class at most counts in part.
+    whole, part = F.expr("before + n <= h"), F.expr("(h - before) / n")
+    chosen = sums.groupBy("model", "start").agg(
+        F.max("total").alias("total"), F.max("h").alias("h"),
+        *((F.coalesce(F.sum(F.when(whole, F.col(c))), F.lit(0)) + F.coalesce(F.max(F.when(~whole, F.col(c) * part)), F.lit(0.0))).alias(c)
+          for c in ("n", *(f"s_{i}" for i in range(D)), *(f"p_{i}_{j}" for i, j in PAIRS))))
+    place = (F.col("h") / F.col("total") - 0.5) * 20
+    table_ = F.array(*map(F.lit, SHRUNK))
+    step = F.least(F.floor(place), F.lit(len(SHRUNK) - 2)).cast("int")
+    between = F.get(table_, step) + (F.get(table_, step + 1) - F.get(table_, step)) * (place - step)
+    return _estimated(chosen, between)
+
+
+def _reweighted(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """The estimate of all rows within the quantile of chi-square of each estimate."""
+    totals = rows.groupBy("model").agg(F.count("*").alias("total"))
+    near = with_distance(rows, estimates).where(F.col("d2") <= chi_square_cut(1 - REWEIGHTED))
+    sums = near.groupBy("model", "start").agg(*_sums()).join(totals, "model")
+    return _estimated(sums, F.lit(shrunk(REWEIGHTED)))
+
+
+def _least(estimates: DataFrame, kept: int) -> DataFrame:
+    """The ``kept`` least determinants of each model; of equal ones the first starts."""
+    order = Window.partitionBy("model").orderBy("logdet", "start")
+    return estimates.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= kept).drop("__rank")
+
+
+def least_determinant(rows: DataFrame, steps: int = STEPS, best: int = BEST) -> DataFrame:
+    """The estimate of least determinant of each model of ``rows`` (model, x0 .. x4).
+
+    The driver gets one number a step: how many estimates still fall.
+    """
+    estimates = stored(_concentrate(rows, factors(_starts(rows))), "estimates")
+    estimates = stored(_least(_concentrate(rows, estimates), best).withColumn("fell", F.lit(True)), "estimates")
+    columns = [c for c in estimates.columns if c != "fell"]
+    for _ in range(steps):
+        after = _concentrate(rows, estimates.where("fell").drop("fell"))
+        after = after.select("model", "start", F.struct(*columns).alias("after"))
+        fell = F.coalesce(F.col("after.logdet") < F.col("logdet") - 1e-6, F.lit(False))
+        joined = estimates.join(after, ["model", "start"], "left").withColumn("fell", fell)
+        estimates = stored(joined.select(
+            *(F.when(F.col("fell"), F.col(f"after.{c}")).otherwise(F.col(c)).alias(c) for c in columns), "fell"), "estimates")
+        if estimates.where("fell").isEmpty():
+            break
+    return _least(estimates.drop("fell"), 1)
 
 
 def judge(docs: DataFrame, key: str = "doc_id", cut: float = CUT, least: int = LEAST,
           steps: int = STEPS) -> DataFrame:
-    """key, lang, source, the statistics, base_failed, model, d2 (null if base_failed or without a
-    model), kept; one row per row.
+    """key, lang, source, the statistics, base_failed, model, d2 (null if base_failed), kept; one row
+    per row.
 
     Null and empty texts have no words and fail the limits; null languages and sources are groups of
     their own; texts are read whole; repeated rows and ties count each. Sources with fewer than
-    ``least`` rows are pooled by language, then all together; where even those are too few only the
-    limits count. An empty frame gives an empty frame. Other columns are not read.
+    ``least`` rows are pooled by language, then all together; a last pool that is smaller still has
+    wider floors instead of no verdict. An empty frame gives an empty frame. Other columns are not
+    read.
     """
     rows = statistics(docs, key).withColumn("base_failed", base_failed())
     rows = stored(rows.select("*", *vector()), "statistics")
     named = models(rows, least)
     same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
     fitted = stored(rows.join(named, same).drop("__lang", "__source"), "modelled")
-    clean = fitted.where(~F.col("base_failed"))
-    enough = clean.groupBy("model").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("model")
-    estimates = stored(_start(clean).join(enough, "model", "left_semi"), "estimates")
-    for _ in range(steps):
-        estimates = stored(_concentrate(clean, estimates).join(enough, "model", "left_semi"), "estimates")
+    clean = fitted.where(~F.col("base_failed")).select("model", *(f"x{i}" for i in range(D)))
+    estimates = stored(_reweighted(clean, stored(least_determinant(clean, steps), "least")), "reweighted")
     judged = with_distance(fitted, estimates)
     d2 = F.when(~F.col("base_failed"), F.col("d2"))
     return judged.select(
