@@ -156,10 +156,9 @@ def models(rows: DataFrame, least: int = LEAST) -> DataFrame:
 def factors(estimates: DataFrame) -> DataFrame:
     """model, start, logdet, m_i (centre) and the cells l_i_j of the covariance's Cholesky factor.
 
-    ``estimates`` has model, start, m_i and c_i_j. The cells are computed one column after the other,
-    on one row per model and start.
+    ``estimates`` has model, start, m_i and c_i_j. Each cell refers to those before it by name.
     """
-    out = estimates
+    cells = []
     for i in range(D):
         for j in range(i + 1):
             rest = F.col(f"c_{j}_{i}")
@@ -167,25 +166,24 @@ def factors(estimates: DataFrame) -> DataFrame:
                 rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             # The floors keep the matrix positive definite; rounding may take no more than this.
             cell = F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{j}_{j}")
-            out = out.withColumn(f"l_{i}_{j}", cell)
+            cells.append(cell.alias(f"l_{i}_{j}"))
     logdet = sum((2 * F.log(f"l_{i}_{i}") for i in range(1, D)), 2 * F.log("l_0_0"))
-    return out.select("model", "start", logdet.alias("logdet"), *(f"m_{i}" for i in range(D)),
-                      *(f"l_{i}_{j}" for i in range(D) for j in range(i + 1)))
+    return estimates.select("model", "start", *(f"m_{i}" for i in range(D)), *cells, logdet.alias("logdet"))
 
 
 def with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """``rows`` once for each estimate of their model, with start and d2, the squared distance from it
     (both null without one)."""
-    out = rows.join(estimates, "model", "left")
+    out, along = rows.join(estimates, "model", "left"), []
     for i in range(D):
         rest = F.col(f"x{i}") / UNIT - F.col(f"m_{i}")
         for k in range(i):
             rest = rest - F.col(f"l_{i}_{k}") * F.col(f"y_{k}")
-        out = out.withColumn(f"y_{i}", rest / F.col(f"l_{i}_{i}"))
+        along.append((rest / F.col(f"l_{i}_{i}")).alias(f"y_{i}"))
     d2 = F.col("y_0") * F.col("y_0")
     for i in range(1, D):
         d2 = d2 + F.col(f"y_{i}") * F.col(f"y_{i}")
-    return out.select(*rows.columns, "start", d2.alias("d2"))
+    return out.select(*rows.columns, "start", *along, d2.alias("d2")).select(*rows.columns, "start", "d2")
 
 
 def _starts(rows: DataFrame) -> DataFrame:
