@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 Q = 12
-#: Bytes of a window, and of the steps between windows of a longer text.
+#: Bytes of a window at most, and of the steps between such windows of a longer text.
 WIDTH, STRIDE = 160, 80
-#: The same where excerpts of 80 bytes must be found.
+#: The same unless told otherwise: excerpts of 80 bytes are found.
 NARROW, STEP = 64, 17
 #: Edits allowed for each byte of a window.
 RATE = 0.05
@@ -213,7 +213,7 @@ def distance(window: bytes, region: bytes, most: int) -> int:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
-                 block_bytes: int = BLOCK_BYTES, width: int = WIDTH, stride: int = STRIDE) -> DataFrame:
+                 block_bytes: int = BLOCK_BYTES, width: int = NARROW, stride: int = STEP) -> DataFrame:
     """The rows of ``docs`` with __items: array<struct<item_id, edits>>, sorted, of benchmark texts
     with a window in the text, empty for clean rows.
 

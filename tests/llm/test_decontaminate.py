@@ -95,7 +95,7 @@ def test_rows(spark, edge_docs, edge_rows):
         assert len(rows) == len(docs) + len(edge_rows)
         found = {repr((r["doc_id"], r["lang"], r["source"])): [x.item_id for x in r["__items"]] for r in rows if r["__items"]}
         assert {k: v for k, v in found.items() if k.startswith("(10") and k[1:4] != "10,"} == {
-            "(100, 'en', 'a')": [1], "(101, 'en', 'a')": [None], "(102, 'en', 'a')": [2]}
+            "(100, 'en', 'a')": [1], "(101, 'en', 'a')": [None], "(102, 'en', 'a')": [2], "(103, 'en', 'a')": [1]}
         assert found["(5, 'en', 'a')"] == [2] and found["(6, 'en', 'b')"] == [2] and found["(None, None, None)"] == [2]
         assert not any(k.startswith(("(1,", "(2,", "(3,", "(4,", "(8,", "(10,", "(12,")) for k in found)
     assert contaminated(edge_docs.limit(0), bench).collect() == []
