@@ -161,29 +161,25 @@ def factors(estimates: DataFrame) -> DataFrame:
     cells = []
     for i in range(D):
         for j in range(i + 1):
-            rest = F.col(f"c_{j}_{i}")
-            for k in range(j):
-                rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+            rest = " - ".join([f"c_{j}_{i}", *(f"l_{i}_{k} * l_{j}_{k}" for k in range(j))])
             # The floors keep the matrix positive definite; rounding may take no more than this.
-            cell = F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{j}_{j}")
-            cells.append(cell.alias(f"l_{i}_{j}"))
-    logdet = sum((2 * F.log(f"l_{i}_{i}") for i in range(1, D)), 2 * F.log("l_0_0"))
-    return estimates.select("model", "start", *(f"m_{i}" for i in range(D)), *cells, logdet.alias("logdet"))
+            cell = f"sqrt(greatest({rest}, 1e-9D))" if i == j else f"({rest}) / l_{j}_{j}"
+            cells.append(f"{cell} AS l_{i}_{j}")
+    logdet = " + ".join(f"2 * ln(l_{i}_{i})" for i in range(D))
+    return estimates.selectExpr("model", "start", *(f"m_{i}" for i in range(D)), *cells, f"{logdet} AS logdet")
 
 
 def with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """``rows`` once for each estimate of their model, with start and d2, the squared distance from it
     (both null without one)."""
-    out, along = rows.join(estimates, "model", "left"), []
+    along = []
     for i in range(D):
-        rest = F.col(f"x{i}") / UNIT - F.col(f"m_{i}")
-        for k in range(i):
-            rest = rest - F.col(f"l_{i}_{k}") * F.col(f"y_{k}")
-        along.append((rest / F.col(f"l_{i}_{i}")).alias(f"y_{i}"))
-    d2 = F.col("y_0") * F.col("y_0")
-    for i in range(1, D):
-        d2 = d2 + F.col(f"y_{i}") * F.col(f"y_{i}")
-    return out.select(*rows.columns, "start", *along, d2.alias("d2")).select(*rows.columns, "start", "d2")
+        rest = " - ".join([f"x{i} / {UNIT} - m_{i}", *(f"l_{i}_{k} * y_{k}" for k in range(i))])
+        along.append(f"({rest}) / l_{i}_{i} AS y_{i}")
+    d2 = " + ".join(f"y_{i} * y_{i}" for i in range(D))
+    columns = [f"`{c}`" for c in rows.columns]
+    return rows.join(estimates, "model", "left").selectExpr(*columns, "start", *along, f"{d2} AS d2").selectExpr(
+        *columns, "start", "d2")
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -208,48 +204,47 @@ def _starts(rows: DataFrame) -> DataFrame:
     return found.select("model", starts.alias("s"), *cells).select("model", "s.*", *(f"c_{i}_{j}" for i, j in PAIRS))
 
 
-def _sums() -> list[Column]:
-    return [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s_{i}") for i in range(D)),
-            *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p_{i}_{j}") for i, j in PAIRS)]
+#: The sums an estimate is made of, by name.
+SUMS = {"n": "1", **{f"s_{i}": f"x{i}" for i in range(D)}, **{f"p_{i}_{j}": f"x{i} * x{j}" for i, j in PAIRS}}
 
 
-def _estimated(sums: DataFrame, kept_variance: Column) -> DataFrame:
-    """The estimates of summed subsets (n, s_i, p_i_j, and the model's total of rows)."""
-    mean = {i: F.col(f"s_{i}") / F.col("n") / UNIT for i in range(D)}
-    wider = F.greatest(F.lit(1.0), LEAST / F.col("total"))
-    cov = {(i, j): (F.col(f"p_{i}_{j}") / F.col("n") / UNIT / UNIT - mean[i] * mean[j]) / kept_variance for i, j in PAIRS}
-    return factors(sums.select(
-        "model", "start", *(mean[i].alias(f"m_{i}") for i in range(D)),
-        *((cov[i, j] + FLOORS[i] ** 2 * wider if i == j else cov[i, j]).alias(f"c_{i}_{j}") for i, j in PAIRS)))
+def _estimated(sums: DataFrame, kept_variance: str) -> DataFrame:
+    """The estimates of summed subsets (``SUMS``, and the model's total of rows)."""
+    wider = f"greatest(1D, {LEAST} / total)"
+    cells = []
+    for i, j in PAIRS:
+        cell = f"(p_{i}_{j} / n / {UNIT} / {UNIT} - m_{i} * m_{j}) / ({kept_variance})"
+        cells.append(f"{cell}{f' + {FLOORS[i] ** 2!r}D * {wider}' if i == j else ''} AS c_{i}_{j}")
+    return factors(sums.selectExpr("model", "start", *(f"s_{i} / n / {UNIT} AS m_{i}" for i in range(D)), *cells))
 
 
 def _concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """The estimate of the h rows nearest to each estimate."""
-    near = F.least(F.lit(CLASSES), F.floor(OCTAVE * F.log2(1 + F.col("d2")))).cast("int")
-    sums = with_distance(rows, estimates).where("start IS NOT NULL").groupBy("model", "start", near.alias("near")).agg(*_sums())
-    own = Window.partitionBy("model", "start")
-    before = F.coalesce(F.sum("n").over(own.orderBy("near").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.withColumn("before", before).withColumn("total", F.sum("n").over(own))
-    sums = sums.withColumn("h", F.least(F.col("total"), F.floor((F.col("total") + D + 1) / 2))).where("before < h")
+    near = F.expr(f"cast(least({CLASSES}, floor({OCTAVE} * log2(1 + d2))) AS int)")
+    sums = with_distance(rows, estimates).where("start IS NOT NULL").groupBy("model", "start", near.alias("near")).agg(
+        *(F.expr(f"sum({what}) AS {name}") for name, what in SUMS.items()))
+    own = "(PARTITION BY model, start{})"
+    before = own.format(" ORDER BY near ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+    sums = sums.selectExpr("*", f"coalesce(sum(n) OVER {before}, 0) AS before", f"sum(n) OVER {own.format('')} AS total")
+    sums = sums.selectExpr("*", f"least(total, floor((total + {D + 1}) / 2)) AS h").where("before < h")
     # Whole classes are summed as integers; one class at most counts in part.
-    whole, part = F.expr("before + n <= h"), F.expr("(h - before) / n")
-    chosen = sums.groupBy("model", "start").agg(
-        F.max("total").alias("total"), F.max("h").alias("h"),
-        *((F.coalesce(F.sum(F.when(whole, F.col(c))), F.lit(0)) + F.coalesce(F.max(F.when(~whole, F.col(c) * part)), F.lit(0.0))).alias(c)
-          for c in ("n", *(f"s_{i}" for i in range(D)), *(f"p_{i}_{j}" for i, j in PAIRS))))
-    place = (F.col("h") / F.col("total") - 0.5) * 20
-    table_ = F.array(*map(F.lit, SHRUNK))
-    step = F.least(F.floor(place), F.lit(len(SHRUNK) - 2)).cast("int")
-    between = F.get(table_, step) + (F.get(table_, step + 1) - F.get(table_, step)) * (place - step)
-    return _estimated(chosen, between)
+    whole = "before + n <= h"
+    chosen = sums.groupBy("model", "start").agg(F.expr("max(total) AS total"), F.expr("max(h) AS h"), *(
+        F.expr(f"coalesce(sum(if({whole}, {c}, NULL)), 0) + coalesce(max(if({whole}, NULL, {c} * ((h - before) / n))), 0D) AS {c}")
+        for c in SUMS))
+    known = f"array({', '.join(f'{v!r}D' for v in SHRUNK)})"
+    place = "((h / total - 0.5D) * 20)"
+    step = f"cast(least(floor({place}), {len(SHRUNK) - 2}) AS int)"
+    chosen = chosen.selectExpr("*", f"{known} AS known", f"{place} AS place", f"{step} AS step")
+    return _estimated(chosen, "get(known, step) + (get(known, step + 1) - get(known, step)) * (place - step)")
 
 
 def _reweighted(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """The estimate of all rows within the quantile of chi-square of each estimate."""
-    totals = rows.groupBy("model").agg(F.count("*").alias("total"))
-    near = with_distance(rows, estimates).where(F.col("d2") <= chi_square_cut(1 - REWEIGHTED))
-    sums = near.groupBy("model", "start").agg(*_sums()).join(totals, "model")
-    return _estimated(sums, F.lit(shrunk(REWEIGHTED)))
+    near = f"d2 <= {chi_square_cut(1 - REWEIGHTED)!r}D"
+    sums = with_distance(rows, estimates).groupBy("model", "start").agg(F.expr("count(*) AS total"), *(
+        F.expr(f"sum(if({near}, {what}, NULL)) AS {name}") for name, what in SUMS.items()))
+    return _estimated(sums.where("n > 0"), f"{shrunk(REWEIGHTED)!r}D")
 
 
 def _least(estimates: DataFrame, kept: int) -> DataFrame:
@@ -261,18 +256,19 @@ def _least(estimates: DataFrame, kept: int) -> DataFrame:
 def least_determinant(rows: DataFrame, steps: int = STEPS, best: int = BEST) -> DataFrame:
     """The estimate of least determinant of each model of ``rows`` (model, x0 .. x4).
 
-    The driver gets one number a step: how many estimates still fall.
+    Each written table is two steps on from the one before. The driver gets one number a table:
+    whether any estimate still falls.
     """
-    estimates = stored(_concentrate(rows, factors(_starts(rows))), "estimates")
-    estimates = stored(_least(_concentrate(rows, estimates), best).withColumn("fell", F.lit(True)), "estimates")
+    both = lambda estimates: _concentrate(rows, _concentrate(rows, estimates))
+    estimates = stored(_least(both(factors(_starts(rows))), best).withColumn("fell", F.lit(True)), "estimates")
     columns = [c for c in estimates.columns if c != "fell"]
-    for _ in range(steps):
-        after = _concentrate(rows, estimates.where("fell").drop("fell"))
+    for _ in range(0, steps, 2):
+        after = both(estimates.where("fell").drop("fell"))
         after = after.select("model", "start", F.struct(*columns).alias("after"))
-        fell = F.coalesce(F.col("after.logdet") < F.col("logdet") - 1e-6, F.lit(False))
-        joined = estimates.join(after, ["model", "start"], "left").withColumn("fell", fell)
-        estimates = stored(joined.select(
-            *(F.when(F.col("fell"), F.col(f"after.{c}")).otherwise(F.col(c)).alias(c) for c in columns), "fell"), "estimates")
+        joined = estimates.join(after, ["model", "start"], "left").withColumn(
+            "falls", F.expr("coalesce(after.logdet < logdet - 1e-6D, false)"))
+        estimates = stored(joined.selectExpr(
+            *(f"if(falls, after.{c}, {c}) AS {c}" for c in columns), "falls AS fell"), "estimates")
         if estimates.where("fell").isEmpty():
             break
     return _least(estimates.drop("fell"), 1)
@@ -295,7 +291,7 @@ def judge(docs: DataFrame, key: str = "doc_id", cut: float = CUT, least: int = L
     same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
     fitted = stored(rows.join(named, same).drop("__lang", "__source"), "modelled")
     clean = fitted.where(~F.col("base_failed")).select("model", *(f"x{i}" for i in range(D)))
-    estimates = stored(_reweighted(clean, stored(least_determinant(clean, steps), "least")), "reweighted")
+    estimates = stored(_reweighted(clean, least_determinant(clean, steps)), "reweighted")
     judged = with_distance(fitted, estimates)
     d2 = F.when(~F.col("base_failed"), F.col("d2"))
     return judged.select(
