@@ -36,10 +36,54 @@ def test_licences(spark, tmp_path, edge_rows):
     rows = same(spark, tmp_path, op3_licences, licenses.ORACLE, {"documents": frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])})
     n = len(edge_rows)
     names = {r.doc_id - n: r.licence for r in rows if r.doc_id >= n}
-    assert [names[i] for i in range(5)] == ["MIT", "CC-BY-NC-4.0", "CC-BY-4.0", "MIT", "MIT"] and names[5] is None
+    assert [names[i] for i in range(5)] == ["MIT", "CC-BY-NC-4.0", "CC-BY-4.0", "MIT", "MIT"]
+    # A notice within a longer line is found too.
+    assert names[5] == "MIT"
     assert licences(frame(spark, []).limit(0)).collect() == []
 
 
+def test_licences_wherever_they_stand(spark):
+    """Every template alone, line by line, in paragraphs of a longer text and inside a longer line."""
+    rows, wanted = [], []
+    for name, text in TEMPLATES:
+        words = text.split()
+        lines = "\n".join(" ".join(words[i: i + 9]) for i in range(0, len(words), 9))
+        halves = " ".join(words[: len(words) // 2]) + "\n\n" + " ".join(words[len(words) // 2:])
+        for shown in (" ".join(words), lines, halves, f"{prose(1, 300)}\n\n{halves}\n\n{prose(2, 300)}",
+                      f"This file, part of foo, is {' '.join(words)} See the folder of the project for details.",
+                      f"{prose(3, 40)} {' '.join(words)} {prose(4, 40)} {' '.join(words)} {prose(5, 40)}"):
+            rows.append((len(rows), shown, "en", "a"))
+            wanted.append(name)
+    got = {r.doc_id: r.matches for r in licences(frame(spark, rows)).collect()}
+    for k, name in enumerate(wanted):
+        own = [m for m in got[k] if m.name == name]
+        assert own and max(m.dice for m in own) > 0.9, (name, rows[k][1][:80])
+        assert all(m.stop > m.start >= 0 and m.shared > 0 for m in own)
+
+
+def test_licences_that_are_alike_come_apart(spark, tmp_path):
+    longest = {name: max((t for n, t in TEMPLATES if n == name), key=len) for name, _ in TEMPLATES}
+    alike = ("BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "AGPL-3.0", "MIT", "ISC", "Zlib")
+    shown = {name: f"{prose(k, 80)}\n\nCopyright (c) 2020 Someone\n\n{longest[name]}\n" for k, name in enumerate(alike)}
+    # A notice with words changed here and there, and one of which too much is missing.
+    edits = longest["MIT"].split()
+    edits[10:100:15] = ["changed"] * len(edits[10:100:15])
+    shown["edited"], shown["half"] = " ".join(edits), " ".join(edits[: len(edits) // 4])
+    docs = frame(spark, [(k, text, "en", "a") for k, text in enumerate(shown.values())])
+    rows = same(spark, tmp_path, op3_licences, licenses.ORACLE, {"documents": docs})
+    found = dict(zip(shown, (r.licence for r in sorted(rows, key=lambda r: r.doc_id)), strict=True))
+    assert found == {**{name: name for name in alike}, "edited": "MIT", "half": None}
+
+
+def test_licence_templates_are_an_argument(spark):
+    own = [("House", "Only members of this house may read, copy or burn these pages at any time.")]
+    texts = ["x " + own[0][1] + " y", "Released under the MIT License."]
+    got = {r.doc_id: [(m.name, m.start, m.stop) for m in r.matches]
+           for r in licences(frame(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]), templates=own).collect()}
+    assert got == {0: [("House", 1, 16)], 1: []}
+
+
+
 PAGES = [
     (1, "http://Www.Example.ORG/es/5?x"), (2, "https://example.org/en/17"), (3, "https://m.example.org/en/2"), (4, "http://x.com/fr/9"), (5, "http://x.com/de/"),
     (6, "http://x.com/en/a/b/c/d/e/f"), (7, None), (8, "no scheme"), (9, "://"), (10, "http://x.com"), (11, "http://x.com?q=/fr/"), (12, "http://notcom/fr/"),
