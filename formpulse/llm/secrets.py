@@ -4,6 +4,10 @@ A value that follows a credential word (``pwd=``, ``auth: Bearer`` ...) is a sec
 costly to guess. The cost is that of the cheapest way to spell it as a sequence of common words,
 dates, repeats, keyboard walks, character sequences and brute-force spans, found by dynamic
 programming over its positions; a segmentation of k parts costs the product of its parts times k!.
+
+Words rank by how many documents hold them outside of credential contexts (``word_ranks``), behind a
+short list of words that are common in such values; so ordinary words after a context word are no
+secrets, and a secret does not become a word by being repeated.
 """
 
 from __future__ import annotations
@@ -11,10 +15,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -50,7 +56,11 @@ COMMON = (
     "super computer internet service account manager office home family company"
 ).split()
 RANK = {word: place for place, word in enumerate(COMMON, 1)}
-LONGEST = max(map(len, COMMON))
+#: Words of a dictionary: how many at most (the most frequent; 20 letters each), and in how many
+#: documents at least.
+DICTIONARY, DOCUMENTS = 20_000, 3
+LONGEST = 20
+WORD = re.compile(rf"(?<![a-z0-9])[a-z]{{3,{LONGEST}}}(?![a-z0-9])", re.A)
 UNLEET = str.maketrans("@430$517", "aaeossit")
 KEYBOARD = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "1qaz2wsx3edc4rfv5tgb6yhn7ujm8ik9ol0p")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0?[1-9]|1[0-2])(?:[-/.]?(?:0?[1-9]|[12]\d|3[01]))?)?"
@@ -86,14 +96,14 @@ def _walks(value: str) -> Iterator[tuple[int, int]]:
             start, step = i - 1, now
 
 
-def log_guesses(value: str) -> float:
+def log_guesses(value: str, ranks: Mapping[str, int] = RANK) -> float:
     """Decimal order of the guesses that the cheapest segmentation needs; 0 for an empty value."""
     n, low = len(value), value.lower()
     plain = low.translate(UNLEET)
     parts: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: (start, log10 cost)
     for i in range(n):
         for j in range(i + 3, min(n, i + LONGEST) + 1):
-            rank = RANK.get(low[i:j]) or 2 * RANK.get(plain[i:j], 0)
+            rank = ranks.get(low[i:j]) or 2 * ranks.get(plain[i:j], 0)
             if rank:
                 cased = 1 if value[i:j] == low[i:j] else 2 if value[i:j].isupper() or value[i:j].istitle() else 2 ** min(j - i, 10)
                 parts[j].append((i, math.log10(rank * cased + 1)))
@@ -115,25 +125,27 @@ def log_guesses(value: str) -> float:
                 i += (times - 1) * size
             i += 1
     each = math.log10(max(_alphabet(value), 10)) if n else 0.0
-    # best[j][k]: cheapest spelling of the first j characters in k parts
+    # best[j][k]: cheapest spelling of the first j characters in k parts. Spellings that already cost
+    # more than one brute-force span of the whole are left out; parts and k! only add to them.
+    most = each * n + 1e-9
     best: list[dict[int, float]] = [{0: 0.0}]
     for j in range(1, n + 1):
         here: dict[int, float] = {}
         for i, cost in [*parts[j], *((i, each * (j - i)) for i in range(j))]:
             for k, before in best[i].items():
-                if k < 8 and before + cost < here.get(k + 1, math.inf):
+                if before + cost + math.log10(math.factorial(k + 1)) <= most and before + cost < here.get(k + 1, math.inf):
                     here[k + 1] = before + cost
         best.append(here)
     return min(cost + math.log10(math.factorial(k)) for k, cost in best[n].items())
 
 
-def costly(value: str, guesses: float = GUESSES) -> bool:
+def costly(value: str, guesses: float = GUESSES, ranks: Mapping[str, int] = RANK) -> bool:
     """Whether any part of PART characters (all, for a shorter value) needs that many guesses."""
     starts = range(0, max(1, len(value) - PART // 2), PART // 2)
-    return any(log_guesses(value[i: i + PART]) >= guesses for i in starts)
+    return any(log_guesses(value[i: i + PART], ranks) >= guesses for i in starts)
 
 
-def scan(text: str | None, guesses: float = GUESSES) -> list[tuple[int, str, int]]:
+def scan(text: str | None, guesses: float = GUESSES, ranks: Mapping[str, int] = RANK) -> list[tuple[int, str, int]]:
     """(start, kind, end) of every secret in a whole text, in code points, by start and kind."""
     if not text:
         return []
@@ -142,7 +154,7 @@ def scan(text: str | None, guesses: float = GUESSES) -> list[tuple[int, str, int
     found = []
     if _HINT.search(low):
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-        found += [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if costly(m[1], guesses)]
+        found += [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if costly(m[1], guesses, ranks)]
     if b"AKIA" in raw:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     if b"h" * 32 in raw.translate(_HEX_TO_H):
@@ -150,19 +162,56 @@ def scan(text: str | None, guesses: float = GUESSES) -> list[tuple[int, str, int
     return [(start, KINDS[kind], end) for start, kind, end in sorted(found)]
 
 
-def secret_spans(docs: DataFrame, key: str = "doc_id", guesses: float = GUESSES) -> DataFrame:
+def prose_words(text: str | None) -> set[str]:
+    """The words of a whole text outside of credential contexts, lower-cased."""
+    if not text:
+        return set()
+    if _HINT.search(text.lower().encode("utf-8", "surrogatepass")):
+        text = CONTEXT.sub(" ", ASSIGN.sub(" ", text))
+    return {m[0] for m in WORD.finditer(text.lower())}
+
+
+def word_ranks(docs: DataFrame, size: int = DICTIONARY, documents: int = DOCUMENTS) -> dict[str, int]:
+    """Guess numbers of words: the common ones, then the ``size`` words that most documents hold, of
+    equal ones the first by letters.
+
+    Counts cover all rows and whole texts and are folded per batch before the shuffle. The driver gets
+    ``size`` words of at most 20 letters. Null and empty texts hold none; repeated rows count each; an
+    empty frame leaves the common words.
+    """
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            held: Counter[str] = Counter()
+            for text in batch.column(0):
+                held.update(prose_words(text.as_py()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
+    counts = docs.select("text").mapInArrow(batches, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    # At most ``size`` rows reach the driver.
+    most = counts.where(F.col("n") >= documents).orderBy(F.desc("n"), "word").limit(size).collect()
+    ranks = dict(RANK)
+    for row in most:
+        ranks.setdefault(row.word, len(ranks) + 1)
+    return ranks
+
+
+def secret_spans(docs: DataFrame, key: str = "doc_id", guesses: float = GUESSES,
+                 ranks: Mapping[str, int] = RANK) -> DataFrame:
     """key, spans array<struct<start, kind, end>> by start, then kind; one row per row.
 
     Kinds: assign, access and hex by pattern, guess by guess cost. Null and empty texts have no
     spans; texts are scanned whole; spans of different kinds may overlap. Keys may be null or repeat,
     each row stands for itself. An empty frame gives an empty frame. Other columns are not read.
+    ``ranks`` are guess numbers of words, such as ``word_ranks``; they are broadcast.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(dict(ranks))
     kind = docs.schema[key].dataType.simpleString()
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
         for batch in rows:
-            spans = [[{"start": s, "kind": k, "end": e} for s, k, e in scan(text.as_py(), guesses)]
+            spans = [[{"start": s, "kind": k, "end": e} for s, k, e in scan(text.as_py(), guesses, shared.value)]
                      for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, shape)], [key, "spans"])
 
@@ -186,5 +235,6 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                 [batch.column(0), *(pa.array(v, pa.int64()) for v in list(out.values())[:3]),
                  *(pa.array(v, pa.string()) for v in list(out.values())[3:])], ["doc_id", *out])
 
-    return secret_spans(table(spark, sf_dir, "documents")).mapInArrow(
+    docs = table(spark, sf_dir, "documents")
+    return secret_spans(docs, ranks=word_ranks(docs)).mapInArrow(
         batches, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")

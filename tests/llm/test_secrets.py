@@ -64,6 +64,43 @@ def test_method_adds_spans_in_credential_contexts_only():
     assert not scan("value: q9Zx7Lm2Vt8Rb4Kw") and not scan("pwd=password1")
 
 
+def test_words_of_prose_are_no_secrets(spark):
+    """Ordinary words after a context word are left alone, random values are not, however often they repeat."""
+    words = ["please", "required", "sauces", "holder", "marianne"]
+    texts = [f"{' '.join(words)} number{k} and so on. Login= zqxjkvbwpm" for k in range(5)] + [None, "", "rare"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    ranks = secrets.word_ranks(docs)
+    assert all(w in ranks for w in (*words, "and")) and "rare" not in ranks and "zqxjkvbwpm" not in ranks
+    assert ranks["password"] == secrets.RANK["password"] and len(set(ranks.values())) == len(ranks)
+    assert secrets.word_ranks(docs, size=1).keys() - secrets.RANK.keys() == {"and"}
+    prose = [f"{c}: {w}" for c, w in zip(("login", "auth", "secret", "token", "login"), words, strict=True)]
+    secret = ["login: zqxjkvbwpm", "pwd=q9Zx7Lm2Vt8Rb4Kw"]
+    rows = secret_spans(spark.createDataFrame(list(enumerate(prose + secret)), "doc_id bigint, text string"), ranks=ranks).collect()
+    assert [[s.kind for s in r.spans if s.kind == "guess"] for r in sorted(rows, key=lambda r: r.doc_id)] == [[]] * 5 + [["guess"]] * 2
+    assert secrets.word_ranks(docs.limit(0)) == secrets.RANK
+
+
+@pytest.mark.parametrize("value", ["1a2b3c4d5e6f", "moonsunstarmoon", "xyzabcfoobarsunqq"])
+def test_segmentations_of_any_number_of_parts(value):
+    """Without bound on the parts: costs over all states, no spelling left out."""
+    each = math.log10(max(secrets._alphabet(value), 10))
+    costs, runs = {}, [(i, j, math.log10(50 * (b - a))) for i, j in secrets._walks(value)
+                       for a in range(i, j - 2) for b in range(a + 3, j + 1) for i, j in [(a, b)]]
+    for i in range(len(value)):
+        for j in range(i + 1, len(value) + 1):
+            costs[i, j] = min(each * (j - i), part_cost(value, value[i:j]))
+    for i, j, cost in runs:
+        costs[i, j] = min(costs[i, j], cost)
+    best = {(0, 0): 0.0}
+    for j in range(1, len(value) + 1):
+        for k in range(1, j + 1):
+            found = [best[i, k - 1] + costs[i, j] for i in range(j) if (i, k - 1) in best]
+            if found:
+                best[j, k] = min(found)
+    want = min(cost + math.log10(math.factorial(k)) for (j, k), cost in best.items() if j == len(value))
+    assert log_guesses(value) == pytest.approx(want)
+
+
 def test_spans_of_edge_rows(edge_docs, edge_rows):
     rows = secret_spans(edge_docs).collect()
     got = sorted(repr((r.doc_id, [(s.start, s.kind, s.end) for s in r.spans])) for r in rows)
