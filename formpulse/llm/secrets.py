@@ -175,8 +175,8 @@ def word_ranks(docs: DataFrame, size: int = DICTIONARY, documents: int = DOCUMEN
     """Guess numbers of words: the common ones, then the ``size`` words that most documents hold, of
     equal ones the first by letters.
 
-    Counts cover all rows and whole texts and are folded per batch before the shuffle. The driver gets
-    ``size`` words of at most 20 letters. Null and empty texts hold none; repeated rows count each; an
+    Counts cover all rows and whole texts and are folded per batch before the shuffle. The driver keeps
+    ``size`` words of at most 20 letters, out of as many from each task. Null and empty texts hold none; repeated rows count each; an
     empty frame leaves the common words.
     """
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +188,7 @@ def word_ranks(docs: DataFrame, size: int = DICTIONARY, documents: int = DOCUMEN
                 [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
     counts = docs.select("text").mapInArrow(batches, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    # At most ``size`` rows reach the driver.
+    # Each task sends ``size`` rows at most, of which the driver keeps ``size``.
     most = counts.where(F.col("n") >= documents).orderBy(F.desc("n"), "word").limit(size).collect()
     ranks = dict(RANK)
     for row in most:
