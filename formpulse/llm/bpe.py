@@ -5,7 +5,8 @@ leaves are the byte positions of the match; a leaf holds the rank of the pair th
 position begins a live part and the pair is in the vocabulary. Inner nodes hold the least of their
 leaves, the leftmost among equals, so the root names the next merge. A merge changes the pairs of two
 live neighbours at most and empties one leaf: three point updates of logarithmic cost each, so a match
-of n bytes takes n log n steps, however long it is.
+of n bytes takes n log n steps, however long it is. Short matches have their trees side by side in one
+array, and a step makes the next merge of each of them.
 
 Rows never meet, so there is no shuffle. A task holds one Arrow batch, the vocabulary, and the ids of a
 bounded number of short matches met before.
@@ -34,6 +35,8 @@ from .common import table
 
 #: Texts kept with their ids in each worker, and the longest of them, in characters.
 REMEMBERED, SHORT = 500_000, 64
+#: Bytes of the matches whose trees stand side by side, and how many of them at a time.
+NARROW, TREES = 32, 8192
 #: White space next to a blank, where a match may hold both.
 _RUN = re.compile(r" \s|\s \Z")
 #: Bytes of text, or ids, that are taken on at a time.
@@ -121,6 +124,79 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Pairs:
+    """Ranks of joined pairs of tokens, looked up for many pairs at once. All bytes must be tokens."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        rank = ranks.get
+        found = [(a, b, whole) for token, whole in ranks.items() for i in range(1, len(token))
+                 if (a := rank(token[:i])) is not None and (b := rank(token[i:])) is not None]
+        left, right, whole = np.array(found, np.int64).reshape(-1, 3).T
+        self.n = max(ranks.values()) + 1
+        keys = left * self.n + right
+        order = np.argsort(keys)
+        # The last key is larger than any pair's.
+        self.keys, self.ranks = np.append(keys[order], self.n * self.n), np.append(whole[order], 0)
+        self.bytes = np.array([ranks[bytes([x])] for x in range(256)], np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ranks of the joined pairs, and which of them are tokens."""
+        keys = left * self.n + right
+        at = np.searchsorted(self.keys, keys)
+        return self.ranks[at], self.keys[at] == keys
+
+
+def merge_many(pieces: list[bytes], pairs: Pairs) -> list[bytes]:
+    """Ids of matches of two bytes at least, as 32-bit numbers, merged side by side.
+
+    Each column holds one match: its tree of ``pair_tree``, the tokens of its parts by their first
+    places, and the parts' neighbours as in ``merge``.
+    """
+    m, lengths = len(pieces), np.array([len(piece) for piece in pieces])
+    size = 1 << (int(lengths.max()) - 1).bit_length()
+    packed = np.frombuffer(b"".join([piece.ljust(size, b"\0") for piece in pieces]), np.uint8)
+    places = np.arange(size)[:, None]
+    tokens = pairs.bytes[packed.reshape(m, size).T]
+    tree = np.full((2 * size, m), NONE)
+    joined, known = pairs(tokens[:-1], tokens[1:])
+    tree[size:-1] = np.where(known & (places[1:] < lengths), joined * size + places[:-1], NONE)
+    low = size
+    while low > 1:
+        tree[low // 2:low] = np.minimum(tree[low:2 * low:2], tree[low + 1:2 * low:2])
+        low //= 2
+    following, before = (np.repeat(first + np.arange(size + 1), m) for first in (1, -1))
+    live = (places < lengths).ravel()
+    tree, tokens = tree.ravel(), tokens.ravel()
+    columns = np.arange(m)
+    while len(columns := columns[tree[m + columns] != NONE]):
+        whole, at = np.divmod(tree[m + columns], size)
+        here = at * m + columns
+        gone, left = following[here], before[here]
+        following[here] = end = following[gone * m + columns]
+        before[end * m + columns] = at
+        tokens[here] = whole
+        live[gone * m + columns] = False
+        # A match's first part has no neighbour to its left, its last none to its right: those leaves stay empty.
+        inner = left >= 0
+        first = np.where(inner, left, at)
+        joined, known = pairs(tokens[first * m + columns], whole)
+        tree[(size + first) * m + columns] = np.where(known, joined * size + first, NONE)
+        inside = end < lengths[columns]
+        joined, known = pairs(whole, tokens[np.where(inside, end, at) * m + columns])
+        tree[(size + at) * m + columns] = np.where(known & inside, joined * size + at, NONE)
+        tree[(size + gone) * m + columns] = NONE
+        nodes = [size + first, size + at, size + gone]
+        for _ in range(size.bit_length() - 1):
+            nodes = [node >> 1 for node in nodes]
+            for node in nodes:
+                child = 2 * node * m + columns
+                tree[node * m + columns] = np.minimum(tree[child], tree[child + m])
+    live = live.reshape(size, m).T
+    ids = tokens.reshape(size, m).T[live].astype(np.int32).tobytes()
+    ends = [0, *(4 * np.cumsum(live.sum(1))).tolist()]
+    return [ids[a:b] for a, b in zip(ends, ends[1:])]
+
+
 class Codec:
     """Ids of texts under one vocabulary and pattern, and their bytes.
 
@@ -136,6 +212,7 @@ class Codec:
         self.tokens = pa.array([by_rank[rank] for rank in range(len(by_rank))], pa.binary())
         self.find = regex.compile(pattern).findall
         self.blanks = blanks
+        self.pairs = Pairs(self.ranks) if all(bytes([x]) in self.ranks for x in range(256)) else None
         #: Ids of pieces and matches as 32-bit numbers.
         self.met: dict[str, bytes] = {}
 
@@ -146,11 +223,22 @@ class Codec:
         first, *rest = text.split(" ")
         return [first, *[" " + piece for piece in rest]] if first else [" " + piece for piece in rest]
 
-    def _match(self, match: str) -> bytes:
-        found = self.met.get(match)
-        if found is None:
-            found = self.met[match] = array("i", merge(match.encode(), self.ranks)).tobytes()
-        return found
+    def _meet(self, matches: set[str]) -> None:
+        """Take the ids of matches not met before into ``met``."""
+        met, rank, by_size = self.met, self.ranks.get, {}
+        for match in matches:
+            piece = match.encode()
+            whole = rank(piece)
+            if whole is not None:
+                met[match] = array("i", [whole]).tobytes()
+            elif self.pairs is None or len(piece) > NARROW:
+                met[match] = array("i", merge(piece, self.ranks)).tobytes()
+            else:
+                by_size.setdefault((len(piece) - 1).bit_length(), []).append((match, piece))
+        for found in by_size.values():
+            for start in range(0, len(found), TREES):
+                part = found[start:start + TREES]
+                met.update(zip([match for match, _ in part], merge_many([piece for _, piece in part], self.pairs)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit numbers; equal pieces of the texts are matched and merged once."""
@@ -159,12 +247,14 @@ class Codec:
             met.clear()
         cut = [self._pieces(text) for text in texts]
         new = set().union(*cut).difference(met)
-        for piece in new:
-            met[piece] = b"".join([self._match(match) for match in self.find(piece)])
+        matches = {piece: self.find(piece) for piece in new}
+        unmet = set().union(*matches.values()).difference(met)
+        self._meet(unmet)
+        for piece, found in matches.items():
+            met[piece] = b"".join([met[match] for match in found])
         out = [b"".join(map(met.__getitem__, pieces)) for pieces in cut]
-        for piece in new:
-            if len(piece) > SHORT:
-                del met[piece]
+        for long in [text for text in new | unmet if len(text) > SHORT]:
+            del met[long]
         return out
 
     def decode(self, ids: pa.ListArray) -> pa.BinaryArray:

@@ -1,5 +1,6 @@
 """The segment tree against the public library on the same ranks, and exact round trips."""
 
+import base64
 import hashlib
 import random
 
@@ -54,6 +55,38 @@ def test_merges_of_any_ranks(piece, seed):
     assert found == ([ranks[piece]] if piece in ranks else plain_merge(piece, ranks))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(min_size=2, max_size=24), min_size=1, max_size=12), st.integers(0, 10 ** 6))
+def test_merges_side_by_side(pieces, seed):
+    """Matches of different lengths and numbers of merges in one array."""
+    pieces, pick = [bytes(b"abc"[x % 3] for x in piece) for piece in pieces], random.Random(seed)
+    grown = [b"a", b"b", b"c"]
+    grown += [pick.choice(grown) + pick.choice(grown[:9]) for _ in range(40)]
+    tokens = list(dict.fromkeys([*grown, *(bytes([x]) for x in range(256))]))
+    pick.shuffle(tokens)
+    ranks = {t: i for i, t in enumerate(tokens)}
+    found = [list(memoryview(ids).cast("i")) for ids in bpe.merge_many(pieces, bpe.Pairs(ranks))]
+    assert found == [plain_merge(piece, ranks) for piece in pieces]
+
+
+def test_short_matches_are_merged_together(monkeypatch, reference):
+    """One by one only the long ones; more matches than stand side by side at a time."""
+    alone, merge = [], bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda piece, ranks: alone.append(piece) or merge(piece, ranks))
+    monkeypatch.setattr(bpe, "TREES", 7)
+    small = bpe.Codec(FILE, public.PATTERN, True)
+    text = " ".join(f"{word}qz{i}x" for i, word in enumerate(prose(9, 300).split())) + " " + "zq" * 40 + ", é\u4e2d🙂!?\x1c"
+    assert ids(small, text) == reference.encode_ordinary(text)
+    assert alone == [b" " + b"zq" * 40] and max(map(len, small.met)) <= bpe.SHORT
+
+
+def test_vocabulary_without_all_bytes(tmp_path):
+    tokens = [b"a", b"b", b"ab", b"aba"]
+    (tmp_path / "few").write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(tokens)))
+    few = bpe.Codec(str(tmp_path / "few"), "[ab]+", False)
+    assert ids(few, "abab") == [2, 2] and ids(few, "aba bab") == [3, 1, 2]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.integers(0, 5)), min_size=1, max_size=20),
        st.lists(st.tuples(st.integers(0, 19), st.one_of(st.none(), st.integers(0, 5))), max_size=30))
