@@ -156,17 +156,21 @@ def models(rows: DataFrame, least: int = LEAST) -> DataFrame:
 def factors(estimates: DataFrame) -> DataFrame:
     """model, start, logdet, m_i (centre) and the cells l_i_j of the covariance's Cholesky factor.
 
-    ``estimates`` has model, start, m_i and c_i_j. Each cell refers to those before it by name.
+    ``estimates`` has model, start, m_i and c_i_j. The cells are folded row by row into one array: columns
+    that refer to each other would be a projection each, which every later step plans again.
     """
-    cells = []
-    for i in range(D):
-        for j in range(i + 1):
-            rest = " - ".join([f"c_{j}_{i}", *(f"l_{i}_{k} * l_{j}_{k}" for k in range(j))])
-            # The floors keep the matrix positive definite; rounding may take no more than this.
-            cell = f"sqrt(greatest({rest}, 1e-9D))" if i == j else f"({rest}) / l_{j}_{j}"
-            cells.append(f"{cell} AS l_{i}_{j}")
-    logdet = " + ".join(f"2 * ln(l_{i}_{i})" for i in range(D))
-    return estimates.selectExpr("model", "start", *(f"m_{i}" for i in range(D)), *cells, f"{logdet} AS logdet")
+    cells = ", ".join(
+        f"named_struct('own', {i * (i + 1) // 2 + 1}, 'other', {j * (j + 1) // 2 + 1}, 'j', {j}, 'c', cast(c_{j}_{i} AS double))"
+        for i in range(D) for j in range(i + 1))
+    rest = "aggregate(zip_with(slice(l, x.own, x.j), slice(l, x.other, x.j), (a, b) -> a * b), x.c, (r, v) -> r - v)"
+    # The floors keep the matrix positive definite; rounding may take no more than this.
+    cell = f"if(x.own = x.other, sqrt(greatest({rest}, 1e-9D)), {rest} / get(l, x.other + x.j - 1))"
+    folded = f"aggregate(array({cells}), cast(array() AS array<double>), (l, x) -> array_append(l, {cell})) AS l"
+    centre = [f"m_{i}" for i in range(D)]
+    named = [f"get(l, {i * (i + 1) // 2 + j}) AS l_{i}_{j}" for i in range(D) for j in range(i + 1)]
+    logdet = " + ".join(f"2 * ln(get(l, {i * (i + 1) // 2 + i}))" for i in range(D))
+    return estimates.selectExpr("model", "start", *centre, folded).selectExpr(
+        "model", "start", *centre, *named, f"{logdet} AS logdet")
 
 
 def with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
